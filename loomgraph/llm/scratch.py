@@ -1,0 +1,61 @@
+"""Written intermediate tables in the folder that all executors share.
+
+Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: such a table survives a lost executor,
+and the task attempt that wrote a part is the only one whose rows are seen. The session's setting is used as
+it is; only a session without one (tests, local mode) gets a folder of its own.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables, without a slash at its end."""
+    sc = spark.sparkContext
+    if set_by_cluster := sc.getConf().get("spark.checkpoint.dir"):
+        return set_by_cluster.rstrip("/")
+    app = sc.applicationId
+    if app not in _local:
+        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            _local[app] = tempfile.mkdtemp(prefix="loomgraph-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        else:  # the warehouse is the other folder that a cluster's machines share
+            _local[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return _local[app]
+
+
+def _path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once and return a reader of what was written."""
+    return table(df, label)[0]
+
+
+def table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``save``; also returns the path, for ``drop``."""
+    spark = df.sparkSession
+    path = _path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a written table that no returned DataFrame reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; call it when all results are written."""
+    drop(spark, f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}")
