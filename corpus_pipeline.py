@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, langid, packing, queries, scratch, secrets_scan
+from loomgraph.llm import exact_dedup, langid, ngram_join, packing, queries, secrets_scan
+from loomgraph.plans import scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +20,11 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar five-word shingles the one with the smallest id stays."""
+    return ngram_join.drop_similar(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by their kind; all documents stay."""
     return secrets_scan.redact(docs)
@@ -32,6 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language),
     ("exact_dedup", copies),
+    ("ngram_jaccard_join", near_copies),
     ("secret_scan", secrets),
     ("best_fit_packing", packed),
 ]

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, bpe, exact_dedup, langid, packing, rans, scratch, secrets_scan, urlfilter
+from loomgraph.llm import ann, bpe, exact_dedup, langid, ngram_join, packing, rans, secrets_scan, urlfilter
+from loomgraph.plans import scratch
 
 #: Which rules every ``pages`` URL is judged by.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -47,6 +48,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_token_files, op2_url_filter, op3_byte_bpe, op4_nearest_neighbours, op5_best_fit_packing, op7_language_id, op8_secret_scan, op10_exact_dedup)
+    f.__name__: f for f in (op1_rans_token_files, op2_url_filter, op3_byte_bpe, op4_nearest_neighbours, op5_best_fit_packing, op6_ngram_jaccard_join, op7_language_id, op8_secret_scan, op10_exact_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
