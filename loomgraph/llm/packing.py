@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm import scratch, tokens
+from loomgraph.llm import tokens
+from loomgraph.plans import scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -112,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, style: str, end_id: int, capacity: i
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 rows = []
                 for doc_id, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist())):
-                    ids += end
+                    ids = np.frombuffer(ids, own.dtype).astype("<u4").tobytes() + end
                     for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, ranks[length]))
                         ranks[length] += 1

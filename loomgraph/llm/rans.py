@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import scratch, tokens
+from loomgraph.llm import tokens
+from loomgraph.plans import scratch
 
 LANES = 128
 CHECK_STEPS = 128
@@ -155,33 +156,23 @@ class Coder:
         return out
 
 
+IDS_SCHEMA = "doc_id long, row long, two boolean, ids binary"
+
+
 def tokenise(docs: DataFrame, tokenizer: str, style: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, ids): each text's ids and the end id, as little-endian unsigned 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(doc_id, row, two, ids): each text's ids and the end id, little-endian, of two bytes each if ``two``, else four."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(tokenizer, style)
+        end, two = np.array([end_id], own.dtype).tobytes(), own.dtype.itemsize == 2
         at = TaskContext.get().partitionId() << 36
         for whole in batches:
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 ids = [i + end for i in own.encode(b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(at, at + len(ids)), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "row", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(at, at + len(ids)), pa.int64()), pa.array([two] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "row", "two", "ids"])
                 at += len(ids)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(of, "doc_id long, row long, ids binary")
-
-
-def _narrow(ids: DataFrame) -> DataFrame:
-    """Ids below 65,536 need two bytes each: half of what is written and dealt out."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            wide = [np.frombuffer(i, "<u4") for i in b.column(2).to_pylist()]
-            two = [bool(len(w) == 0 or int(w.max()) < 1 << 16) for w in wide]
-            data = [(w.astype("<u2") if t else w).tobytes() for w, t in zip(wide, two)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(two), pa.array(data, pa.binary())], ["doc_id", "row", "two", "ids"])
-
-    return ids.mapInArrow(of, "doc_id long, row long, two boolean, ids binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(of, IDS_SCHEMA)
 
 
 def _wide(two: pa.Array, ids: pa.Array) -> list[np.ndarray]:
@@ -189,9 +180,9 @@ def _wide(two: pa.Array, ids: pa.Array) -> list[np.ndarray]:
 
 
 def write(ids: DataFrame, path: str, scale_bits: int = 20) -> None:
-    """Write a table (doc_id, row, ids) as files below ``path``: ``path/table`` and ``path/blocks``."""
+    """Write a table of ``tokenise`` as files below ``path``: ``path/table`` and ``path/blocks``."""
     spark = ids.sparkSession
-    kept, kept_path = scratch.table(_narrow(ids), "ids")
+    kept, kept_path = scratch.table(ids, "ids")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)

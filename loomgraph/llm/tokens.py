@@ -21,7 +21,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 600_000
 #: Longer chunks are encoded but not kept.
 LONG_CHUNK = 200
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
@@ -37,7 +37,10 @@ _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """``encode``: the ids of each text as little-endian unsigned 32-bit integers, special tokens' strings being ordinary text."""
+    """``encode``: the ids of each text, special tokens' strings being ordinary text.
+
+    They are little-endian unsigned integers of two bytes if the vocabulary allows it, else of four: ``dtype``.
+    """
 
     def __init__(self, path: str, style: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,11 +49,12 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.style = style
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunks(self, text: str) -> list[str]:
         if self.style == "words":
