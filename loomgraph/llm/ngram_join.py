@@ -42,8 +42,6 @@ from loomgraph.plans.components import components
 
 #: Counters of the order; bounded, so tokens in more than some millionth of all n-grams stand out at any size.
 COUNTERS = 1 << 20
-#: Bits of the filter that keeps the sets of reps without pairs out of a verification.
-FILTER_BITS = 1 << 23
 ORDERS = 3
 POSTING = np.dtype([("token", "<u4"), ("rep", "<i8"), ("n", "<u4")])
 FLUSH = 1 << 20
@@ -343,39 +341,16 @@ def _verified(texts: DataFrame, words: int, pairs: DataFrame, order, bounds: Bou
     """Of a written table of pairs (a, b) those that link."""
     spark = texts.sparkSession
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            for c in b.columns:
-                marks[mix(c.to_numpy().view(np.uint64), 6) % np.uint64(FILTER_BITS)] = True
-        rows = [(k, p) for k, p in sliced.spread(np.packbits(marks))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "packed"])
-
-    def joined_bits() -> np.ndarray:
-        out = np.zeros(FILTER_BITS // 8, np.uint8)
-        width = len(out) // sliced.SLICES
-        rows = pairs.mapInArrow(bits, "slice int, packed binary").repartition(sliced.SLICES, "slice").mapInArrow(either, "slice int, packed binary")
-        for r in rows.collect():
-            out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.packed, np.uint8)
-        return out
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(packed), "<u4")
-                got[k] = got[k] | part if k in got else part
-        for k, part in got.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.uint8).tobytes()], pa.binary())], ["slice", "packed"])
-
-    wanted = spark.sparkContext.broadcast(joined_bits())
+    wanted = spark.sparkContext.broadcast(sliced.members(pairs.select("a", "b")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = np.unpackbits(wanted.value).view(bool), set()
         for b in _parts(batches):
             rows = []
-            for s in shingle_sets(b.column(1).to_pylist(), words):
-                if len(s) and (d := digest(s)) not in seen and marks[int(mix(np.array([d], np.int64).view(np.uint64), 6)[0] % np.uint64(FILTER_BITS))]:
+            found = shingle_sets(b.column(1).to_pylist(), words)
+            reps = np.array([digest(s) for s in found], np.int64)
+            for d, s, there in zip(reps.tolist(), found, marks[sliced.place(reps)]):
+                if there and len(s) and d not in seen:
                     seen.add(d)
                     rows.append((d, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["rep", "tokens"])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, bpe, exact_dedup, langid, ngram_join, packing, rans, secrets_scan, urlfilter
+from loomgraph.llm import ann, bpe, chains, exact_dedup, langid, ngram_join, packing, rans, secrets_scan, urlfilter
 from loomgraph.plans import scratch
 
 #: Which rules every ``pages`` URL is judged by.
@@ -60,12 +60,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.passages(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_token_files, op2_url_filter, op3_byte_bpe, op4_nearest_neighbours, op5_best_fit_packing, op6_ngram_jaccard_join, op7_language_id, op8_secret_scan, op10_exact_dedup)
+    f.__name__: f for f in (op1_rans_token_files, op2_url_filter, op3_byte_bpe, op4_nearest_neighbours, op5_best_fit_packing, op6_ngram_jaccard_join, op7_language_id, op8_secret_scan, op9_substring_dedup, op10_exact_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICES = 16
+#: Bits of a membership filter; a place is a hash, so a filter may hold more than was put in, never less.
+FILTER_BITS = 1 << 23
 
 
 def spread(counters: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -44,3 +46,37 @@ def total(rows: DataFrame, size: int, finish: Callable[[np.ndarray], np.ndarray]
     for r in rows.repartition(SLICES, "slice").mapInArrow(add, "slice int, packed binary").collect():
         out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.packed, np.uint8)
     return out
+
+
+def place(keys: np.ndarray) -> np.ndarray:
+    """Where a filter holds 64-bit keys."""
+    x = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(65 - FILTER_BITS.bit_length())).astype(np.int64)
+
+
+def members(keys: DataFrame) -> np.ndarray:
+    """A filter, as packed bits, of all values of a DataFrame's columns of longs."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            for c in b.columns:
+                marks[place(c.to_numpy())] = True
+        rows = list(spread(np.packbits(marks)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "packed"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(packed), "<u4")
+                got[k] = got[k] | part if k in got else part
+        for k, part in got.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.uint8).tobytes()], pa.binary())], ["slice", "packed"])
+
+    schema = "slice int, packed binary"
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    width = len(out) // SLICES
+    for r in keys.mapInArrow(marked, schema).repartition(SLICES, "slice").mapInArrow(either, schema).collect():
+        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.packed, np.uint8)
+    return out
