@@ -21,7 +21,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 1_000_000
 #: Longer chunks are encoded but not kept.
 LONG_CHUNK = 200
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
@@ -36,6 +36,15 @@ _PIECES = {
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
+class _Known(dict):
+    """Ids by unit; a unit that is not known is noted and None."""
+
+    unknown: list[str]
+
+    def __missing__(self, unit: str) -> None:
+        self.unknown.append(unit)
+
+
 class ChunkEncoder:
     """``encode``: the ids of each text, special tokens' strings being ordinary text.
 
@@ -50,8 +59,7 @@ class ChunkEncoder:
         self.library.encode_special_tokens = True
         self.style = style
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = _Known(), _Known()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,18 +73,22 @@ class ChunkEncoder:
             return _CHUNK.findall(text)
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CHUNK.findall(text)
 
-    def _new(self, units: set[str], known: dict[str, bytes]) -> dict[str, bytes]:
-        """Ids of units by the library; short ones are kept in ``known``. Returns what to look units up in."""
-        unseen = list(units - known.keys())
-        if not unseen:
-            return known
-        new = dict(zip(unseen, self._ids(unseen)))
-        long = [u for u in unseen if len(u) > LONG_CHUNK]
-        if not long:
-            known.update(new)
-            return known
-        known.update((u, i) for u, i in new.items() if len(u) <= LONG_CHUNK)
-        return {**known, **{u: new[u] for u in long}}
+    def _filled(self, units: list[list[str]], known: _Known) -> list[bytes]:
+        """The ids of lists of units, each unit looked up once; those not known are encoded together and filled in."""
+        known.unknown = []
+        get = known.__getitem__
+        found = [[*map(get, u)] for u in units]
+        if known.unknown:
+            distinct = list(dict.fromkeys(known.unknown))
+            new = dict(zip(distinct, self._ids(distinct)))
+            late = iter(known.unknown)
+            for row in found:  # unknown units stand in the order in which they were met
+                at = -1
+                for _ in range(row.count(None)):
+                    at = row.index(None, at + 1)
+                    row[at] = new[next(late)]
+            known.update(new if max(map(len, distinct)) <= LONG_CHUNK else {u: i for u, i in new.items() if len(u) <= LONG_CHUNK})
+        return [*map(b"".join, found)]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         cut, lower = _PIECES[self.style].findall, self.style == "words"
@@ -85,12 +97,12 @@ class ChunkEncoder:
         for t in texts:
             simple.append(bool(_SIMPLE.fullmatch(t or "")))
             units.append(cut(t.lower() if lower else t) if t and simple[-1] else self._chunks(t) if t else [])
-        for cache in (self.pieces, self.cache):
+        for cache in (self.pieces, self.chunks):
             if len(cache) > MOST_CHUNKS:
                 cache.clear()
-        of_pieces = self._new(set().union(*(u for u, s in zip(units, simple) if s)), self.pieces).__getitem__
-        of_chunks = self._new(set().union(*(u for u, s in zip(units, simple) if not s)), self.cache).__getitem__
-        return [b"".join(map(of_pieces if s else of_chunks, u)) for u, s in zip(units, simple)]
+        pieces = iter(self._filled([u for u, s in zip(units, simple) if s], self.pieces))
+        chunks = iter(self._filled([u for u, s in zip(units, simple) if not s], self.chunks))
+        return [next(pieces if s else chunks) for s in simple]
 
 
 def encoder(path: str, style: str) -> ChunkEncoder:
