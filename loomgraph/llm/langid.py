@@ -32,6 +32,8 @@ MOST_GRAMS = 20_000
 MOST_LANGS = 256
 #: Longer words are judged by their first letters.
 WORD_LETTERS = 64
+#: Words outside the model whose n-grams a worker remembers.
+MOST_UNKNOWN = 400_000
 #: Words that a task counts before it passes the counts on.
 COUNTED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -41,7 +43,11 @@ FOLDS, HELD_OUT = 4, 2
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters (and signs such as superscripts that stand with them); none if the text has no letter."""
+    found = _WORD.findall(text.lower()) if text else []
+    if found and not any(map(str.isalpha, found)) and not any(map(str.isalpha, text)):
+        return []
+    return found
 
 
 def grams(word: str) -> Iterator[str]:
@@ -53,35 +59,27 @@ def grams(word: str) -> Iterator[str]:
 
 
 class Model:
-    """Log frequencies per language of words and n-grams."""
+    """Log frequencies per language of words and n-grams, as rows of one table; words met later are added at its end."""
 
     def __init__(self, langs: list[str], word_counts: list[tuple[str, str, int]], gram_counts: list[tuple[str, str, int]]):
         self.langs = langs
-        self.words = self._logs(word_counts)
-        self.grams = [self._logs([g for g in gram_counts if len(g[1]) == n]) for n in range(1, LONGEST + 1)]
+        self.index, self.table = self._logs(word_counts)
+        self.known = len(self.index)
+        self.grams = [dict(zip(i, t)) for i, t in (self._logs([g for g in gram_counts if len(g[1]) == n]) for n in range(1, LONGEST + 1))]
         self.unseen = np.full(len(langs), -20.0)
-        self.cache: dict[str, np.ndarray] = {}
 
-    def _logs(self, counts: list[tuple[str, str, int]]) -> dict[str, np.ndarray]:
+    def _logs(self, counts: list[tuple[str, str, int]]) -> tuple[dict[str, int], np.ndarray]:
         place = {lang: i for i, lang in enumerate(self.langs)}
-        table: dict[str, np.ndarray] = {}
+        index: dict[str, int] = {}
+        for _, unit, _ in counts:
+            index.setdefault(unit, len(index))
+        values = np.zeros((len(index), len(self.langs)))
         for lang, unit, n in counts:
-            table.setdefault(unit, np.zeros(len(self.langs)))[place[lang]] += n
-        if not table:
-            return {}
-        values = np.array(list(table.values()))
-        total = values.sum(0, keepdims=True)
-        logs = np.log((values + 0.5) / (total + 0.5 * len(values)))
-        return dict(zip(table, logs))
-
-    def of_word(self, word: str) -> np.ndarray:
-        """Log frequency per language of a word, or of the n-grams that cover it."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        got = self.cache.get(word)
-        if got is not None:
-            return got
+            values[index[unit], place[lang]] += n
+        return index, np.log((values + 0.5) / (values.sum(0, keepdims=True) + 0.5 * len(values) + 0.5))
+
+    def of_unknown(self, word: str) -> np.ndarray:
+        """Log frequency per language of the n-grams that cover a word: at each place the longest that is known."""
         w, at, logs = f"\x02{word[:WORD_LETTERS]}\x03", 0, []
         while at < len(w):
             for n in range(min(LONGEST, len(w) - at), 0, -1):
@@ -89,24 +87,36 @@ class Model:
                 if found is not None:
                     break
             logs.append(self.unseen if found is None else found)
-            at += max(n, 1)
-        if len(self.cache) > COUNTED:
-            self.cache.clear()
-        out = self.cache[word] = np.mean(logs, 0)
+            at += n
+        return np.mean(logs, 0)
+
+    def _learn(self, unknown: set[str]) -> None:
+        need = len(self.index) + len(unknown)
+        if need > len(self.table):
+            self.table = np.concatenate([self.table, np.empty((max(need, 2 * len(self.table)) - len(self.table), len(self.langs)))])
+        for word in unknown:
+            self.table[len(self.index)] = self.of_unknown(word)
+            self.index[word] = len(self.index)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        split = [words(t) for t in texts]
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        if len(self.index) > self.known + MOST_UNKNOWN:
+            self.index = dict(list(self.index.items())[: self.known])
+        self._learn(set().union(*split) - self.index.keys())
+        get, out = self.index.__getitem__, []
+        for own in split:
+            if not own:
+                out.append(("und", 0.0))
+                continue
+            mean = self.table[np.fromiter(map(get, own), np.int64, len(own))].mean(0)
+            share = np.exp(SHARPNESS * (mean - mean.max()))
+            best = int(np.argmax(mean))
+            out.append((self.langs[best], float(share[best] / share.sum())))
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        own = words(text)
-        if not own or not self.langs:
-            return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in Counter(own).items():
-            total += n * self.of_word(word)
-        mean = total / len(own)
-        share = np.exp(SHARPNESS * (mean - mean.max()))
-        best = int(np.argmax(mean))
-        return self.langs[best], float(share[best] / share.sum())
-
 
 def word_counts(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, word, n) over all rows; every task adds its counts up before they are dealt out."""
@@ -169,7 +179,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.predict(t) for t in b.column(2).to_pylist()]
+            found = [f for i in range(0, b.num_rows, 1000) for f in shared.value.predict(b.column(2).slice(i, 1000).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -189,6 +199,7 @@ def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([shared.value.predict(t)[0] != "und" for t in b.column(at).to_pylist()], pa.bool_()))
+            found = [f[0] for i in range(0, b.num_rows, 1000) for f in shared.value.predict(b.column(at).slice(i, 1000).to_pylist())]
+            yield b.filter(pa.array([f != "und" for f in found], pa.bool_()))
 
     return docs.mapInArrow(of, docs.schema)
