@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,9 +113,23 @@ def cohesion(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
-    """(community, signature) of the sorted members."""
-    members = F.array_join(F.sort_array(F.collect_list("id")), "\0")
-    return nodes.groupBy("community").agg(F.substring(F.sha2(F.concat(members, F.lit("\0")).cast("binary"), 256), 1, 16).alias("signature"))
+    """(community, signature) of the sorted members: a hash that streams over them, so no community is collected."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, h, out = None, False, hashlib.sha256(), []
+        for b in batches:
+            for c, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not known or c != at:
+                    if known:
+                        out.append((at, h.hexdigest()[:16]))
+                    at, known, h = c, True, hashlib.sha256()
+                h.update(i.encode() + b"\0")
+        if known:
+            out.append((at, h.hexdigest()[:16]))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.string())], ["community", "signature"])
+
+    own = nodes.filter("id is not null").select(F.col("community").cast("int"), "id").repartition("community").sortWithinPartitions("community", "id")
+    return own.mapInArrow(of, "community int, signature string")
 
 
 def hub_labels(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -193,7 +211,8 @@ def interleave(rows: DataFrame, kind: str, order: list[str], kinds: list[str], t
     """Rows of all kinds in turn, each kind in its own order, kinds as listed."""
     place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind))
     w = Window.partitionBy(kind).orderBy(*order)
-    return rows.withColumn("turn", F.row_number().over(w)).withColumn("kind_place", place).orderBy("turn", "kind_place").limit(top)
+    first = rows.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= top)  # more of a kind cannot be shown
+    return first.withColumn("kind_place", place).orderBy("turn", "kind_place").limit(top)
 
 
 def diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -6,6 +6,9 @@ All joins are equi-joins on ids; what a rule needs in order is decided by window
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +21,6 @@ CONFIDENCE_RANK = {"AMBIGUOUS": 1, "INFERRED": 2, "EXTRACTED": 3}
 FILE_TYPES = ["code", "document", "paper", "image", "rationale", "concept"]
 
 
-def rank_of(confidence: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE_RANK.items() for x in kv]), confidence), F.lit(0))
-
-
 def resolve_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Endpoints that are no node id are looked up by normal form; forms that several nodes have resolve to none."""
     ids = nodes.select(F.col("id")).distinct()
@@ -60,6 +59,22 @@ def first_edges(edges: DataFrame) -> DataFrame:
 
 
 _CARRIED = ["source", "target", "relation", "confidence", "confidence_score", "weight", "context", "source_file", "source_location"]
+_COLLAPSED = "lo string, hi string, source string, target string, relation string, confidence string, confidence_score double, weight double, context string, source_file string, source_location string"
+
+
+def _passed_over(a: list, x: tuple) -> bool:
+    """Whether edge x leaves the edge a that its pair has so far as it is."""
+    same = a[2] == x[2]
+    if same and a[0] == x[1] and a[1] == x[0]:
+        return True  # the same relation, reversed
+    if x[2] in GENERIC_RELATIONS and a[2] not in GENERIC_RELATIONS:
+        return True
+    if not same:
+        return False
+    ra, rx = CONFIDENCE_RANK.get(a[3], 0), CONFIDENCE_RANK.get(x[3], 0)
+    if ra != rx:
+        return ra > rx
+    return bool(a[8] and not x[8]) or (a[4] is not None and x[4] is not None and a[4] > x[4])
 
 
 def collapse(edges: DataFrame) -> DataFrame:
@@ -68,25 +83,35 @@ def collapse(edges: DataFrame) -> DataFrame:
     Edges of a pair are folded in the order (source, target, relation, seq): a reversed edge of the same relation is
     passed over; a generic relation never replaces a specific one; of one relation the higher confidence, then
     the one with a location, then the higher score stays; otherwise the later edge wins, and attributes that it lacks
-    stay. Exact duplicates and all but the best edge of one (source, target, relation) are removed before the fold
-    where that cannot change its result: the fold of one relation keeps a maximum.
+    stay. The rule depends on all earlier edges, so it is a fold: pairs are dealt out and sorted by Spark (which
+    spills) and stream through tasks that hold one edge, so no pair is ever collected, however many edges it has.
     """
-    pair = edges.withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")})
-    ordered = F.array_sort(F.collect_list(F.struct("source", "target", "relation", "seq", *[c for c in _CARRIED if c not in ("source", "target", "relation")])))
-    folded = pair.groupBy("lo", "hi").agg(ordered.alias("own"))
-
-    def step(a: Column, x: Column) -> Column:
-        same = a["relation"] == x["relation"]
-        reverse = same & (a["source"] == x["target"]) & (a["target"] == x["source"])
-        downgrade = x["relation"].isin(GENERIC_RELATIONS) & ~a["relation"].isin(GENERIC_RELATIONS)
-        ra, rx = rank_of(a["confidence"]), rank_of(x["confidence"])
-        located = (F.coalesce(a["source_location"], F.lit("")) != "") & (F.coalesce(x["source_location"], F.lit("")) == "")
-        weaker = same & ((ra > rx) | ((ra == rx) & (located | F.coalesce(a["confidence_score"] > x["confidence_score"], F.lit(False)))))
-        merged = F.struct(*[(F.coalesce(x[c], a[c]) if c not in ("source", "target", "relation", "seq") else x[c]).alias(c) for c in ["source", "target", "relation", "seq", *_CARRIED[3:]]])
-        return F.when(reverse | downgrade | weaker, a).otherwise(merged)
-
-    rest = F.slice(F.col("own"), 2, F.greatest(F.size("own") - 1, F.lit(0)))
-    return folded.select("lo", "hi", F.aggregate(rest, F.col("own")[0], step).alias("e")).select("lo", "hi", *[F.col(f"e.{c}").alias(c) for c in _CARRIED])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, edge, out = None, None, []
+        for b in batches:
+            for lo, hi, *x in zip(*(c.to_pylist() for c in b.columns)):
+                if (lo, hi) != at:
+                    if at:
+                        out.append((*at, *edge))
+                    at, edge = (lo, hi), x
+                elif not _passed_over(edge, x):
+                    edge = [*x[:3], *(e if v is None else v for v, e in zip(x[3:], edge[3:]))]
+            if len(out) >= 5000:
+                yield _rows(out)
+                out = []
+        if at:
+            out.append((*at, *edge))
+        yield _rows(out)
+
+    pair = edges.select(F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi"), *_CARRIED, "seq")
+    ordered = pair.repartition("lo", "hi").sortWithinPartitions("lo", "hi", "source", "target", "relation", "seq").drop("seq")
+    return ordered.mapInArrow(fold, _COLLAPSED)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string()] * 6 + [pa.float64()] * 2 + [pa.string()] * 3
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["lo", "hi", *_CARRIED])
 
 
 def sanitise(edges: DataFrame) -> DataFrame:

@@ -104,6 +104,40 @@ def seeds_by_term(nodes: DataFrame, deg: DataFrame, terms: list[str]) -> DataFra
     return found
 
 
+# Words that ask for a relation.
+INTENT = set("call calls called caller callers invoke invokes invoked use uses used using import imports imported export exports exported extend extends extended implement implements implemented depend depends reference references referenced".split())
+
+
+def pick_seeds(ranked: DataFrame, nodes: DataFrame, best: DataFrame, terms: list[str], most: int = 3, gap: float = 0.2) -> list[str]:
+    """Where a traversal starts: the best nodes with different labels, none below ``gap`` of the first's score, and each term's own.
+
+    Words of intent get no seed of their own unless there are no other words. Both inputs have a handful of rows.
+    """
+    label = prepared(nodes).select("id", "norm_label")
+    first = ranked.orderBy(F.desc("score"), "id").limit(50).join(label, "id").orderBy(F.desc("score"), "id").collect()
+    own = {r.term: (r.id, r.norm_label) for r in best.join(label, "id").collect()}
+    if any(t not in INTENT for t in terms):
+        own = {t: x for t, x in own.items() if t not in INTENT}
+    seeds, seen = [], set()
+    for r in first:
+        if len(seeds) >= most or (seeds and r.score < first[0].score * gap):
+            break
+        if r.norm_label not in seen:
+            seen.add(r.norm_label)
+            seeds.append(r.id)
+    for t in sorted(own):
+        i, name = own[t]
+        if i not in seeds and name not in seen:
+            seen.add(name)
+            seeds.append(i)
+    return seeds
+
+
+def ambiguous(nodes: DataFrame, query: str) -> DataFrame:
+    """(files, ambiguous): whether the best tier of a lookup spans several files."""
+    return lookup(nodes, query).agg(F.countDistinct("source_file").alias("files")).withColumn("ambiguous", F.col("files") > 1)
+
+
 def lookup(nodes: DataFrame, query: str) -> DataFrame:
     """(id, tier) of the nodes in the best tier that matches: source path, exact, prefix, substring."""
     q = text.fold(query).lower()
@@ -118,9 +152,9 @@ def lookup(nodes: DataFrame, query: str) -> DataFrame:
     return tiered.join(F.broadcast(tiered.agg(F.min("tier").alias("tier"))), "tier").select("id", "tier", "source_file")
 
 
-def render(nodes: DataFrame, edges: DataFrame, visited: DataFrame, deg: DataFrame) -> DataFrame:
-    """(line, hop) text lines of nodes by distance, descending degree, id."""
-    d = nodes.join(visited, "id").join(deg, "id")
+def render(nodes: DataFrame, visited: DataFrame, deg: DataFrame, most: int = 20_000) -> DataFrame:
+    """(place, id, line) text lines of nodes by distance, descending degree, id; ``most`` lines, more than any budget of text has room for."""
+    d = nodes.join(visited, "id").join(deg, "id").orderBy("distance", F.desc("degree"), "id").limit(most)
     place = F.row_number().over(Window.orderBy("distance", F.desc("degree"), "id"))
     line = F.format_string("NODE %s [src=%s loc=%s community=%s]", "label", F.coalesce("source_file", F.lit("")), F.coalesce("source_location", F.lit("")), F.coalesce(F.col("community").cast("string"), F.lit("")))
     return d.select(place.alias("place"), "id", line.alias("line"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import analyze, build, feedback, incremental, quads, retrieve, traverse
+from loomgraph.operators import analyze, build, cluster, entities, feedback, incremental, quads, report, resolve, retrieve, slicing, traverse
 from loomgraph.plans.components import components
+from loomgraph.sources import files
 from loomgraph.sources.tables import table, view, with_views
 from loomgraph.streaming import changes
 
@@ -658,3 +659,309 @@ def t1_debounced_sessions(spark, d):
 def x5_cypher_lines(spark, d):
     line = F.format_string("MERGE (a {id:'%s'})-[:%s]->(b {id:'%s'})", "source", F.upper("relation"), "target")
     return view(spark, d, "edges").select("seq", "source", "target", line.alias("line"))
+
+
+# --- entities -------------------------------------------------------------------------------------------------------
+
+_TWINS = """SELECT * FROM (SELECT id, label, file_type, source_file, source_location, rationale, community FROM nodes
+    UNION ALL SELECT id, label || ' copy', file_type, 'archive/' || source_file, NULL, 'from a copy', community FROM nodes WHERE file_type = 'code')"""
+
+
+@query(f"""WITH t AS ({_TWINS}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN starts_with(source_file, 'archive/') THEN 1 ELSE 0 END, length(label), label) AS k FROM t)
+          SELECT id, label, source_file, rationale FROM r WHERE k = 1""", N)
+def w1_id_survivors(spark, d):
+    n = view(spark, d, "nodes")
+    twins = n.filter("file_type = 'code'").withColumns({"label": F.concat("label", F.lit(" copy")), "source_file": F.concat(F.lit("archive/"), "source_file"), "source_location": F.lit(None).cast("string"), "rationale": F.lit("from a copy")})
+    return entities.survivors(n.unionByName(twins), ["rationale", "source_location"]).select("id", "label", "source_file", "rationale")
+
+
+_LABEL_NORM = "trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH n AS (SELECT *, {_LABEL_NORM} AS norm FROM nodes WHERE file_type <> 'code'),
+          h AS (SELECT norm, -sum(c / t * log2(c / t)) AS bits FROM (SELECT norm, count(*)::DOUBLE AS c, (sum(count(*)) OVER (PARTITION BY norm))::DOUBLE AS t FROM (SELECT norm, unnest(string_split(norm, '')) AS ch FROM (SELECT DISTINCT norm FROM n)) GROUP BY norm, ch) GROUP BY norm)
+          SELECT a, b FROM (SELECT min(id) OVER (PARTITION BY norm, source_file) AS a, id AS b FROM n WHERE source_file <> '' AND norm <> ''
+            UNION SELECT min(id) OVER (PARTITION BY norm), id FROM n JOIN h USING (norm) WHERE file_type = 'concept' AND source_file <> '' AND bits >= 2.5) WHERE a <> b""", N)
+def d3_exact_label_pairs(spark, d):
+    return entities.exact_pairs(view(spark, d, "nodes"))
+
+
+@query()
+def d4_similar_label_pairs(spark, d):
+    return entities.similar_pairs(view(spark, d, "nodes"))
+
+
+@query()
+def d4_merge_entities(spark, d):
+    n = view(spark, d, "nodes")
+    return entities.merged(n, entities.exact_pairs(n).unionByName(entities.similar_pairs(n).select("a", "b")))
+
+
+@query("SELECT count(DISTINCT community) AS repos, count(DISTINCT community) > 1 AS refused FROM nodes", N)
+def d1_single_repository(spark, d):
+    return view(spark, d, "nodes").agg(F.countDistinct("community").alias("repos")).withColumn("refused", F.col("repos") > 1)
+
+
+# --- clusters and centralities --------------------------------------------------------------------------------------
+
+
+@query()
+def g11_communities(spark, d):
+    nodes, _, pairs = graph(spark, d)
+    return cluster.communities(nodes, pairs)
+
+
+def _supplier_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    li = table(spark, d, "lineitem").select((F.col("l_suppkey") % 100).cast("string").alias("a"), (F.col("l_partkey") % 100).cast("string").alias("b"), F.col("l_orderkey"))
+    own = li.filter("l_orderkey % 37 = 0 and a <> b")
+    pairs = own.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    return pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct(), pairs
+
+
+@query()
+def g9_betweenness(spark, d):
+    nodes, pairs = _supplier_pairs(spark, d)
+    return cluster.betweenness(nodes, pairs)
+
+
+@query(PAIRS + """, v AS (SELECT s AS id, community AS cid, count(*) AS n FROM (SELECT lo AS s, hi AS o FROM pairs UNION SELECT hi, lo FROM pairs) JOIN nodes ON id = o WHERE s LIKE 'nation%' AND o NOT LIKE 'nation%' GROUP BY 1, 2)
+        SELECT id, cid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, cid) AS k FROM v) WHERE k = 1""", N, E)
+def g12_attach_by_vote(spark, d):
+    nodes, _, pairs = graph(spark, d)
+    hubs = nodes.filter("id like 'nation%'")
+    rest = nodes.join(hubs.select("id"), "id", "left_anti").select("id", F.col("community").alias("cid"))
+    return cluster.attach_by_vote(rest, pairs, hubs.select("id"))
+
+
+# --- reports --------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT source_file AS path, string_split(source_file, '/') AS s FROM nodes WHERE source_file <> '') SELECT array_to_string(s[1:k], '/') AS dir, CAST(k AS INT) AS depth, count(*) AS total FROM p, unnest(range(0, len(s))) AS u(k) GROUP BY 1, 2""", N)
+def a17_directory_totals(spark, d):
+    return report.directory_totals(view(spark, d, "nodes").filter("source_file <> ''").select(F.col("source_file").alias("path"))).select("dir", "depth", "total")
+
+
+@query("SELECT s.file_type AS a, t.file_type AS b, count(*) AS n FROM edges e JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.file_type <> t.file_type GROUP BY 1, 2", N, E)
+def a18_section_edges(spark, d):
+    return report.section_edges(view(spark, d, "edges"), view(spark, d, "nodes").select("id", F.col("file_type").alias("section")))
+
+
+@query("SELECT regexp_extract(path, '(\\.[^./]+)$', 1) AS extension, count(*) AS n FROM files GROUP BY 1 ORDER BY n DESC, extension LIMIT 3", "files")
+def a19_extensions(spark, d):
+    return report.extension_histogram(view(spark, d, "files"))
+
+
+_SCORE = "coalesce(confidence_score, 1.0) + CASE confidence WHEN 'EXTRACTED' THEN 2.0 ELSE 0.0 END + CASE WHEN relation IN ('calls', 'uses', 'method') THEN 1.0 WHEN relation IN ('imports', 'imports_from') THEN 0.6 WHEN relation = 'contains' THEN -0.2 ELSE 0.0 END"
+
+
+@query(f"SELECT id, round(sum(s), 4) AS score FROM (SELECT source AS id, {_SCORE} AS s FROM edges UNION ALL SELECT target, {_SCORE} FROM edges) GROUP BY id", E)
+def m21_node_scores(spark, d):
+    return report.node_scores(view(spark, d, "edges")).select("id", F.round("score", 4).alias("score"))
+
+
+@query(DEGREE + """, c AS (SELECT CASE WHEN source = 'supplier_1' THEN 'out' ELSE 'in' END AS direction, CASE WHEN source = 'supplier_1' THEN target ELSE source END AS id, source_file, seq FROM edges WHERE source = 'supplier_1' OR target = 'supplier_1'),
+        r AS (SELECT c.*, row_number() OVER (ORDER BY degree DESC, id, seq) AS k FROM c JOIN degree USING (id))
+        SELECT 'shown' AS part, direction, id, source_file AS file, CAST(1 AS BIGINT) AS n FROM r WHERE k <= 20 UNION ALL SELECT 'rest', direction, NULL, CASE source_file WHEN '' THEN '(unknown file)' ELSE source_file END, count(*) FROM r WHERE k > 20 GROUP BY 2, 4""", N, E)
+def m12_explain(spark, d):
+    nodes, _, pairs = graph(spark, d)
+    return report.explain(view(spark, d, "edges"), analyze.degrees(nodes, pairs), "supplier_1")
+
+
+_CHANGED = "SELECT o_orderkey % 9 AS pr, 'nation' || CAST(o_orderkey % 25 AS VARCHAR) || '/customer' || CAST(o_orderkey % 37 AS VARCHAR) || '.py' AS file FROM orders WHERE o_orderkey <= 60"
+_IMPACT = f"""WITH ch AS (SELECT DISTINCT * FROM ({_CHANGED})), f AS (SELECT source_file, count(*) AS n, list(DISTINCT community) AS cs FROM nodes WHERE source_file <> '' GROUP BY 1),
+    m AS (SELECT DISTINCT pr, source_file, n, cs FROM ch JOIN f ON file = source_file OR ends_with(source_file, '/' || file) OR ends_with(file, '/' || source_file)),
+    i AS (SELECT pr, CAST(sum(n) AS BIGINT) AS n_nodes, array_to_string(list_sort(list_distinct(flatten(list(cs)))), ',') AS communities FROM m GROUP BY pr)"""
+
+
+def _impact(spark, d):
+    o = table(spark, d, "orders").filter("o_orderkey <= 60")
+    file = F.concat(F.lit("nation"), (F.col("o_orderkey") % 25).cast("string"), F.lit("/customer"), (F.col("o_orderkey") % 37).cast("string"), F.lit(".py"))
+    return report.pull_request_impact(o.select((F.col("o_orderkey") % 9).alias("pr"), file.alias("file")), view(spark, d, "nodes"))
+
+
+@query(_IMPACT + " SELECT pr, n_nodes, communities FROM i", N)
+def j18_pull_request_impact(spark, d):
+    return _impact(spark, d)
+
+
+@query(_IMPACT + " SELECT community, array_to_string(list_sort(list(pr)), ',') AS prs FROM (SELECT pr, unnest(string_split(communities, ',')) AS community FROM i) GROUP BY community HAVING count(*) > 1", N)
+def m32_pull_request_conflicts(spark, d):
+    return report.pull_request_conflicts(_impact(spark, d))
+
+
+@query(PAIRS + _COMM + " SELECT least(cu, cv) AS a, greatest(cu, cv) AS b, count(*) AS n FROM cp WHERE cu <> cv GROUP BY 1, 2", N, E)
+def x2_meta_graph(spark, d):
+    nodes, _, pairs = graph(spark, d)
+    return report.meta_graph(nodes, pairs)
+
+
+@query(_SYM + """, f0 AS (SELECT 'supplier_1' AS id), f1 AS (SELECT DISTINCT dst AS id FROM adj WHERE src = 'supplier_1'), v AS (SELECT id FROM f0 UNION SELECT id FROM f1)
+        SELECT CAST(floor(sum(length('NODE ' || label || ' src=' || coalesce(source_file, '') || ' loc=' || coalesce(source_location, '')) + 1) / 4) AS BIGINT) AS tokens, count(*) AS n_nodes FROM nodes WHERE id IN (SELECT id FROM v)""", N, E)
+def a16_question_tokens(spark, d):
+    nodes, _, pairs = graph(spark, d)
+    seen = traverse.reach(traverse.symmetric(pairs), spark.createDataFrame([("supplier_1",)], "id string"), 1)
+    return report.question_tokens(nodes, pairs, seen)
+
+
+@query(_SYM + """, f0 AS (SELECT 'supplier_1' AS id, 0 AS distance), v AS (SELECT id, min(distance) AS distance FROM (SELECT * FROM f0 UNION ALL SELECT dst, 1 FROM adj WHERE src = 'supplier_1') GROUP BY id),
+        dg AS (SELECT n.id, count(e.id) AS degree FROM nodes n LEFT JOIN (SELECT lo AS id FROM pairs UNION ALL SELECT hi FROM pairs) e ON e.id = n.id GROUP BY n.id)
+        SELECT CAST(row_number() OVER (ORDER BY distance, degree DESC, id) AS INT) AS place, id, 'NODE ' || label || ' [src=' || coalesce(source_file, '') || ' loc=' || coalesce(source_location, '') || ' community=' || coalesce(CAST(community AS VARCHAR), '') || ']' AS line
+        FROM v JOIN nodes USING (id) JOIN dg USING (id)""", N, E)
+def q5_render(spark, d):
+    nodes, _, pairs = graph(spark, d)
+    seen = traverse.reach(traverse.symmetric(pairs), spark.createDataFrame([("supplier_1",)], "id string"), 1)
+    return retrieve.render(nodes, seen, analyze.degrees(nodes, pairs))
+
+
+# --- text units -----------------------------------------------------------------------------------------------------
+
+
+@query()
+def e10_slices(spark, d):
+    return slicing.slice_documents(table(spark, d, "documents"), 2000)
+
+
+@query("""WITH RECURSIVE u AS (SELECT source AS dir, doc_id AS unit, CAST(n_chars // 4 AS BIGINT) AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+          r AS (SELECT dir, unit, k, cost AS used, CAST(0 AS BIGINT) AS chunk FROM u WHERE k = 1 UNION ALL SELECT u.dir, u.unit, u.k, CASE WHEN r.used + u.cost > 4000 THEN u.cost ELSE r.used + u.cost END, CASE WHEN r.used + u.cost > 4000 THEN chunk + 1 ELSE chunk END FROM r JOIN u ON u.dir = r.dir AND u.k = r.k + 1)
+          SELECT dir, unit, chunk FROM r""")
+def e12_pack_by_directory(spark, d):
+    return slicing.pack_by_directory(table(spark, d, "documents").select(F.col("source").alias("dir"), F.col("doc_id").alias("unit"), F.floor(F.col("n_chars") / 4).alias("cost")), 4000)
+
+
+@query("""SELECT doc_id, 'code' AS kind, unnest(regexp_extract_all(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`([^`\\n]+)`', 1)) AS value FROM documents
+          UNION ALL SELECT doc_id, 'heading', unnest(regexp_extract_all(regexp_replace(text, '(?s)```.*?```', '', 'g'), '(?m)^#{1,6}\\s+(.+?)\\s*$', 1)) FROM documents
+          UNION ALL SELECT doc_id, 'link', unnest(regexp_extract_all(regexp_replace(text, '(?s)```.*?```', '', 'g'), '\\[[^\\]]*\\]\\(([^)\\s]+)', 1)) FROM documents
+          UNION ALL SELECT doc_id, 'wiki', unnest(regexp_extract_all(regexp_replace(text, '(?s)```.*?```', '', 'g'), '\\[\\[([^\\]|#]+)', 1)) FROM documents""")
+def e4_markdown(spark, d):
+    return files.markdown(table(spark, d, "documents"))
+
+
+@query("SELECT seq, source || '>' || target AS key, CASE confidence WHEN 'EXTRACTED' THEN 1.0 WHEN 'INFERRED' THEN 0.55 ELSE 0.2 END::DOUBLE AS score FROM edges WHERE confidence_score IS NULL", E)
+def x1_default_scores(spark, d):
+    e = view(spark, d, "edges").filter("confidence_score is null")
+    return e.select("seq", F.concat("source", F.lit(">"), "target").alias("key"), F.when(F.col("confidence") == "EXTRACTED", 1.0).when(F.col("confidence") == "INFERRED", 0.55).otherwise(0.2).alias("score"))
+
+
+@query("""SELECT user_id, CAST(ts AS DATE) + CAST(event_id % 60 AS INT) AS due, CAST(DATE '2024-02-01' - (CAST(ts AS DATE) + CAST(event_id % 60 AS INT)) AS INT) AS overdue, event_id FROM events WHERE CAST(ts AS DATE) + CAST(event_id % 60 AS INT) < DATE '2024-02-01'""")
+def m27_stale_notes(spark, d):
+    due = F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 60).cast("int"))
+    return table(spark, d, "events").select("user_id", due.alias("due"), F.datediff(F.lit("2024-02-01").cast("date"), due).alias("overdue"), "event_id").filter("overdue > 0")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS stderr FROM events GROUP BY 1")
+def a23_mean_saving(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value") / F.sqrt(F.count("value")), 6).alias("stderr"))
+
+
+@query("""SELECT 'a' AS repo, id FROM nodes WHERE community < 5 UNION SELECT 'b', id FROM nodes WHERE community > 3 AND community < 8""", N)
+def k5_union_of_fragments(spark, d):
+    n = view(spark, d, "nodes")
+    a, b = n.filter("community < 5").select(F.lit("a").alias("repo"), "id"), n.filter("community > 3 and community < 8").select(F.lit("b").alias("repo"), "id")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+# --- resolution -----------------------------------------------------------------------------------------------------
+
+_RAW = "SELECT 'customer_' || CAST(o_custkey AS STRING) AS source, 'part_name_' || CAST(o_orderkey % 60 AS STRING) AS callee, 'src/nation' || CAST(o_custkey % 25 AS STRING) || '/a' || CAST(o_custkey % 3 AS STRING) || '/m.py' AS source_file FROM {orders}"
+_DEFS = """SELECT 'part_' || CAST(p_partkey AS STRING) AS id, 'part_name_' || CAST(p_partkey % 90 AS STRING) || '()' AS label,
+    CASE WHEN p_partkey % 4 = 0 THEN 'tests/' ELSE 'src/' END || 'nation' || CAST(p_partkey % 25 AS STRING) || '/a' || CAST(p_partkey % 3 AS STRING) || '/p' || CAST(p_partkey AS STRING) || '.py' AS source_file FROM {part} WHERE p_partkey <= 200"""
+
+
+@query(f"""WITH raw AS (SELECT DISTINCT * FROM ({_RAW.replace("{orders}", "orders")})), defs AS ({_DEFS.replace("{part}", "part")}),
+          f AS (SELECT raw.source, callee, raw.source_file, d.id AS target, string_split(raw.source_file, '/')[1:-2] AS sd, string_split(d.source_file, '/')[1:-2] AS td, starts_with(d.source_file, 'tests/') AS t, count(*) OVER (PARTITION BY raw.source, callee, raw.source_file) AS n
+                FROM raw JOIN defs d ON callee || '()' = d.label),
+          l AS (SELECT *, count(*) OVER w AS m, CASE WHEN sd[1] <> td[1] THEN 0 WHEN sd[2] <> td[2] THEN 1 WHEN sd[3] <> td[3] THEN 2 ELSE 3 END AS near FROM f WHERE n = 1 OR NOT t WINDOW w AS (PARTITION BY source, callee, source_file)),
+          b AS (SELECT *, max(near) OVER (PARTITION BY source, callee, source_file) AS top FROM l), r AS (SELECT * FROM b WHERE m = 1 OR (near = top AND top > 0)),
+          s AS (SELECT source, callee, source_file, min(target) AS target FROM r GROUP BY 1, 2, 3 HAVING count(*) = 1)
+          SELECT source, target, min(source_file) AS source_file FROM s WHERE source <> target GROUP BY 1, 2""")
+def j8_cross_file_calls(spark, d):
+    raw, defs = spark.sql(_RAW, orders=table(spark, d, "orders")), spark.sql(_DEFS, part=table(spark, d, "part"))
+    return resolve.calls(raw, defs, spark.createDataFrame([], "source string, target string"))
+
+
+@query("""WITH t AS (SELECT id, file_type, source_file FROM nodes WHERE file_type = 'document' UNION ALL SELECT id || '_doc', file_type, CASE WHEN id LIKE '%1' THEN 'other.md' ELSE source_file END FROM nodes WHERE file_type = 'document')
+          SELECT a.id AS old, b.id AS new FROM t a JOIN t b ON b.id = a.id || '_doc' AND a.source_file = b.source_file""", N)
+def j5_document_twins(spark, d):
+    docs = view(spark, d, "nodes").filter("file_type = 'document'").select("id", "file_type", "source_file")
+    twins = docs.select(F.concat("id", F.lit("_doc")).alias("id"), "file_type", F.when(F.col("id").endswith("1"), "other.md").otherwise(F.col("source_file")).alias("source_file"))
+    return resolve.document_twins(docs.unionByName(twins))
+
+
+@query("""WITH t AS (SELECT id, label, source_file, source_location FROM nodes WHERE file_type = 'code' UNION ALL SELECT 'ghost_' || id, CASE WHEN id LIKE '%7' THEN 'none' ELSE label END, source_file, NULL FROM nodes WHERE file_type = 'code'),
+          a AS (SELECT source_file, label, min(id) AS new FROM t WHERE source_location IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1) SELECT t.id AS old, new FROM t JOIN a USING (source_file, label) WHERE t.source_location IS NULL""", N)
+def j6_ghost_merge(spark, d):
+    code = view(spark, d, "nodes").filter("file_type = 'code'").select("id", "label", "source_file", "source_location")
+    ghost = code.select(F.concat(F.lit("ghost_"), "id").alias("id"), F.when(F.col("id").endswith("7"), "none").otherwise(F.col("label")).alias("label"), "source_file", F.lit(None).cast("string").alias("source_location"))
+    return resolve.ghosts(code.unionByName(ghost), F.col("source_location").isNotNull())
+
+
+@query("""SELECT id AS old, new FROM (SELECT id, first_value(id) OVER (PARTITION BY label ORDER BY coalesce(source_file, ''), coalesce(source_location, ''), id) AS new FROM (SELECT id, regexp_replace(label, '[0-9]$', '') AS label, source_file, source_location FROM nodes)) WHERE id <> new""", N)
+def m16_canonical_groups(spark, d):
+    return resolve.canonical_groups(view(spark, d, "nodes").withColumn("label", F.regexp_replace("label", "[0-9]$", "")))
+
+
+@query("""WITH n AS (SELECT doc_id, 'id_' || doc_id AS id, CASE doc_id % 3 WHEN 0 THEN split_part(text, ' ', 1) || '()' ELSE 'neverthere' || doc_id || '(x)' END AS label, path FROM files JOIN documents USING (doc_id, text)),
+          w AS (SELECT doc_id, id, path, [x FOR x IN regexp_extract_all(lower(split_part(label, '(', 1) || ' ' || id), '[a-z_][a-z0-9_]*') IF length(x) >= 3] AS ws FROM n)
+          SELECT w.id FROM w JOIN files f USING (path) WHERE len(ws) > 0 AND len([x FOR x IN ws IF contains(lower(f.text), x)]) = 0""", "files")
+def e14_unverified(spark, d):
+    f = view(spark, d, "files")
+    first = F.split("text", " ")[0]
+    label = F.when(F.col("doc_id") % 3 == 0, F.concat(first, F.lit("()"))).otherwise(F.concat(F.lit("neverthere"), F.col("doc_id").cast("string"), F.lit("(x)")))
+    nodes = f.select(F.concat(F.lit("id_"), F.col("doc_id").cast("string")).alias("id"), label.alias("label"), F.lit("code").alias("file_type"), F.col("path").alias("source_file"))
+    return resolve.unverified(nodes, f.select(F.col("path").alias("source_file"), "text"))
+
+
+@query("SELECT event_id, round(CASE event_type WHEN 'click' THEN (event_id * 3.0 + user_id * 15.0) / 1e6 WHEN 'view' THEN (event_id * 0.5 + user_id * 2.0) / 1e6 ELSE 0 END, 9) AS cost FROM events")
+def e16_cost(spark, d):
+    usage = table(spark, d, "events").select("event_id", F.col("event_type").alias("model"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens"))
+    return resolve.cost(usage, {"click": (3.0, 15.0), "view": (0.5, 2.0)}).select("event_id", F.round("cost", 9).alias("cost"))
+
+
+@query("SELECT doc_id, sha256(substr(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g'), 1, 256)) AS label FROM documents")
+def e17_sanitise_labels(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.sanitize_label(F.col("text")).cast("binary"), 256).alias("label"))
+
+
+@query("""WITH w AS (SELECT id, label, source_file, CASE WHEN community < 12 THEN 'a' ELSE 'b' END AS repo FROM nodes), f AS (SELECT 'b::' || id AS id, label, source_file FROM nodes WHERE community % 2 = 0),
+          x AS (SELECT label, min(id) AS new FROM w WHERE repo <> 'b' AND source_file = '' AND label <> '' GROUP BY label), m AS (SELECT f.id AS old, new FROM f JOIN x USING (label) WHERE f.source_file = '')
+          SELECT repo, id FROM w WHERE repo <> 'b' UNION ALL SELECT 'b', id FROM f WHERE id NOT IN (SELECT old FROM m)""", N)
+def t9_add_repository(spark, d):
+    n = view(spark, d, "nodes")
+    whole = n.select("id", "label", "source_file", F.when(F.col("community") < 12, "a").otherwise("b").alias("repo"))
+    fresh = n.filter("community % 2 = 0").select(F.concat(F.lit("b::"), "id").alias("id"), "label", "source_file")
+    return resolve.add_repository(whole, fresh, "b")[0].select("repo", "id")
+
+
+@query("""SELECT count(DISTINCT source_file) AS files, count(DISTINCT source_file) > 1 AS ambiguous FROM nodes WHERE starts_with(lower(label), 'customer#00000000')""", N)
+def g6_ambiguous_lookup(spark, d):
+    return retrieve.ambiguous(view(spark, d, "nodes"), "Customer#00000000")
+
+
+@query(f"SELECT unnest({sorted(set(_TERMS))!r}) AS term".replace("\"", "'"))
+def p5_query_terms(spark, d):
+    return spark.createDataFrame([(t,) for t in sorted(set(_TERMS))], "term string")
+
+
+@query()
+def w10_seeds(spark, d):
+    nodes, _, pairs = graph(spark, d)
+    best = retrieve.seeds_by_term(nodes, analyze.degrees(nodes, pairs), _TERMS)
+    return spark.createDataFrame([(i, s) for i, s in enumerate(retrieve.pick_seeds(retrieve.scores(nodes, _TERMS, 50), nodes, best, _TERMS))], "place int, id string")
+
+
+@query()
+def m20_community_samples(spark, d):
+    nodes, _, pairs = graph(spark, d)
+    return report.community_samples(nodes, analyze.god_nodes(nodes, pairs, 50))
+
+
+@query("SELECT repo, id, label FROM (SELECT repo, id, label, row_number() OVER (PARTITION BY id ORDER BY repo) AS k FROM (SELECT 0 AS repo, id, label FROM nodes WHERE community < 15 UNION ALL SELECT 1, id, label || '!' FROM nodes WHERE community > 9)) WHERE k = 1", N)
+def m11_cached_first(spark, d):
+    n = view(spark, d, "nodes").select("id", "label", "community")
+    both = n.filter("community < 15").withColumn("repo", F.lit(0)).unionByName(n.filter("community > 9").withColumns({"repo": F.lit(1), "label": F.concat("label", F.lit("!"))}))
+    return build.last_nodes(both.withColumn("seq", -F.col("repo"))).select("repo", "id", "label")
+
+
+@query("""WITH m AS (SELECT l_orderkey AS hid, array_to_string(list_distinct(list(l_partkey ORDER BY l_linenumber, l_partkey)), ',') AS x, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) SELECT hid, n FROM m""")
+def m7_distinct_members(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("hid")).agg(F.size(F.array_distinct(F.collect_list("l_partkey"))).cast("long").alias("n"))
