@@ -122,8 +122,8 @@ class Shard:
                 cosines = (self.vectors[batch] * q).sum(1) / (self.norms[batch] * norm)
                 floor = -best[-1][0] if len(best) >= k else -np.inf
                 for i in np.flatnonzero(cosines >= floor).tolist():
-                    got = [i for i in self.ids[batch[i]][: k + 1].tolist() if i != own] if own not in self.ids[batch[i]][: k + 1] else [x for x in self.ids[batch[i]].tolist() if x != own][:k]
-                    best += [(-float(cosines[i]), x) for x in got]
+                    ids = self.ids[batch[i]]
+                    best += [(-float(cosines[i]), x) for x in ids[ids != own][:k].tolist()]
                 best = sorted(best)[:k]
             if len(best) >= k and not done:
                 true = max(2 + 2 * best[-1][0], 1e-300)

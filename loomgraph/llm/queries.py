@@ -87,6 +87,20 @@ ORACLE_SQL: dict[str, str] = {
             FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM split s LEFT JOIN fits f ON f.page_id = s.page_id AND k = 1""",
+    "op6_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)])
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+            FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT x, y FROM pairs WHERE 100 * c >= 75 * (na + nb - c)),
+        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
+        SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s""",
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -4,7 +4,8 @@ One frequency table, counted over the whole corpus and scaled to ``2**scale_bits
 holds the ids of whole documents and is coded by ``LANES`` interleaved coders, token i by coder i mod ``LANES``, into one
 stream of 32-bit words. Blocks are independent; within a block the coders' states and the place in the stream
 are kept every ``CHECK_STEPS`` steps, so a reader decodes all parts between checkpoints at once (here as the
-rows of one array). Each block carries the CRC-32 of its ids and is refused when the decoded ids differ.
+rows of one array). Each block carries the CRC-32 of its ids and of its bytes and is refused when either
+differs.
 
 The files are Parquet, the container that executors can write to any store: a row is a block, its column
 ``payload`` this module's format, the other columns the index (segment, block, tokens before it in the segment).
@@ -35,7 +36,7 @@ CHECK_STEPS = 128
 BLOCK_TOKENS = 1 << 17
 TOGETHER = 8
 LOW = np.uint64(1 << 31)
-HEADER = struct.Struct("<4sIIIIII")  # magic, documents, tokens, words, checkpoints, CRC-32 of the ids, scale bits
+HEADER = struct.Struct("<4sIIIIIII")  # magic, documents, tokens, words, checkpoints, scale bits, CRC-32 of the ids, CRC-32 of what follows
 MAGIC = b"LRA1"
 FILE_SCHEMA = "segment int, block int, before long, n_docs int, n_tokens long, payload binary"
 
@@ -130,16 +131,18 @@ class Coder:
         known = np.array([d is not None for d in doc_ids], np.uint8)
         numbers = np.array([d or 0 for d in doc_ids], "<i8")
         crc = zlib.crc32(ids.astype("<u4").tobytes())
-        head = HEADER.pack(MAGIC, len(doc_ids), len(ids), len(words), len(points), crc, int(self.bits))
-        return b"".join([head, known.tobytes(), numbers.tobytes(), lengths.astype("<u4").tobytes(), points.astype("<u8").tobytes(), words.astype("<u4").tobytes()])
+        body = b"".join([known.tobytes(), numbers.tobytes(), lengths.astype("<u4").tobytes(), points.astype("<u8").tobytes(), words.astype("<u4").tobytes()])
+        return HEADER.pack(MAGIC, len(doc_ids), len(ids), len(words), len(points), int(self.bits), crc, zlib.crc32(body)) + body
 
     def unpack(self, payloads: list[bytes]) -> list[tuple[list[int | None], np.ndarray, np.ndarray]]:
         """Per block: document ids, their lengths, the ids of all of them."""
         heads, coded = [], []
         for p in payloads:
-            magic, docs, total, n_words, n_points, crc, bits = HEADER.unpack_from(p)
+            magic, docs, total, n_words, n_points, bits, crc, body_crc = HEADER.unpack_from(p)
             if magic != MAGIC or bits != int(self.bits):
                 raise ValueError("not a block of this format and table")
+            if zlib.crc32(memoryview(p)[HEADER.size :]) != body_crc:
+                raise ValueError("a block is damaged")
             at = HEADER.size
             known = np.frombuffer(p, np.uint8, docs, at)
             numbers = np.frombuffer(p, "<i8", docs, at + docs)
