@@ -33,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
-def _path(spark: SparkSession, label: str) -> str:
+def place(spark: SparkSession, label: str) -> str:
+    """A new path for an intermediate table or file set of this application."""
     return f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
@@ -45,7 +46,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
 def table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As ``save``; also returns the path, for ``drop``."""
     spark = df.sparkSession
-    path = _path(spark, label)
+    path = place(spark, label)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of plans that nothing refers to any more
     df.write.option("compression", "zstd").parquet(path)
