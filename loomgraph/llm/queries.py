@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch.shared_dir(spark)}/rans-{uuid.uuid4().hex}"
+    path = scratch.place(spark, "rans")
     rans.write(rans.tokenise(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), "words", 1), path)
     return rans.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
