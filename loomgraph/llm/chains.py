@@ -241,7 +241,7 @@ def align(x: np.ndarray, y: np.ndarray, parts: list[tuple[int, int, int]], least
     return [p for half in (parts[:widest], parts[widest:]) for p in align(x, y, half, least_words, least_similarity)]
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 40, least_similarity: float = 0.75) -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, least_similarity: float = 0.75) -> DataFrame:
     """Per passage: doc_id, start, n_words, other_id, other_start, other_n_words, similarity; places count words."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col).filter("doc_id is not null and text is not null")

@@ -451,7 +451,7 @@ def test_passages(spark):
     words = {i: normal(t).split() for i, t in rows}
     for r in found:
         a, b = words[r.doc_id][r.start : r.start + r.n_words], words[r.other_id][r.other_start : r.other_start + r.other_n_words]
-        assert len(a) == r.n_words >= 40 and len(b) == r.other_n_words >= 40 and 0.75 <= r.similarity <= 1 and r.doc_id != r.other_id
+        assert len(a) == r.n_words >= 50 and len(b) == r.other_n_words >= 50 and 0.75 <= r.similarity <= 1 and r.doc_id != r.other_id
     exact = [r for r in found if r.doc_id < 20 and r.other_id < 20]
     assert all(r.n_words == 55 and r.similarity == 1 for r in exact)
     fuzzy = [r for r in found if {r.doc_id, r.other_id} == {100, 101}]
