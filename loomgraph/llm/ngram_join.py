@@ -9,7 +9,7 @@ documents share stands behind every prefix that has anything rarer.
 
 1. The counters, and (document, digest, size), in one pass over the texts.
 2. Prefixes under the first order are dealt out by token as packed blocks. Where a token's reps meet, each is
-   first paired with one leader of its size class only. Pairs that pass the bounds of the first order go to
+   first paired with two leaders of its size class only. Pairs that pass the bounds of the first order go to
    verification, which compares their prefixes under the other orders and then the whole sets.
 3. Components of those links. Then all pairs of one token that are in *different* components, and these alone, are
    generated, counted and verified in the same way; members of one component need no more links.
@@ -27,7 +27,8 @@ empty result; columns other than the two named are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,20 @@ from loomgraph.plans.components import components
 #: Counters of the order; bounded, so tokens in more than some millionth of all n-grams stand out at any size.
 COUNTERS = 1 << 20
 ORDERS = 3
-POSTING = np.dtype([("token", "<u4"), ("rep", "<i8"), ("n", "<u4")])
-FLUSH = 1 << 20
-_MOST_WORDS = 1_000_000
-_words: dict[bytes, int] = {}
+POSTING = np.dtype([("token", "<u8"), ("rep", "<i8"), ("n", "<u4")])
+FLUSH = 1 << 19
+_MOST_WORDS = 400_000
+
+
+class _Hashes(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _Hashes()
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -62,11 +73,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     split = [t.encode().translate(LOWER).split() if t else [] for t in texts]
     if len(_words) > _MOST_WORDS:
         _words.clear()
-    for w in set().union(*split) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    get = _words.__getitem__
     counts = np.array([len(s) for s in split], np.int64)
-    return np.fromiter((h for s in split for h in map(get, s)), np.uint64, int(counts.sum())), counts
+    return np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum())), counts
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -135,7 +143,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
@@ -171,7 +179,7 @@ def _postings(texts: DataFrame, words: int, order, bounds: Bounds, blocks: int)
             nonlocal waiting
             t, lengths = np.concatenate(tokens), np.array([len(x) for x in tokens])
             rows = np.empty(len(t), POSTING)
-            rows["token"], rows["rep"], rows["n"] = t >> np.uint64(32), np.repeat(reps, lengths), np.repeat(sizes, lengths)
+            rows["token"], rows["rep"], rows["n"] = t, np.repeat(reps, lengths), np.repeat(sizes, lengths)
             block = (t % np.uint64(blocks)).astype(np.int64)
             by = np.argsort(block, kind="stable")
             rows, block = rows[by], block[by]
@@ -214,147 +222,207 @@ def _postings(texts: DataFrame, words: int, order, bounds: Bounds, blocks: int)
     return scratch.save(texts.mapInArrow(emit, schema).repartitionById(blocks, F.col("block")).mapInArrow(meet, schema), "postings")
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> Iterator[pa.RecordBatch]:
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<u4"), ("nb", "<u4"), ("by", "<u4"), ("shared", "<u4")])
+PACKED = "kind int, block int, packed binary"
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """One row for each (by, a, b) with the sum of ``shared``."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows["b"], rows["a"], rows["by"]))]
+    first = np.flatnonzero(np.concatenate([[True], (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1]) | (rows["by"][1:] != rows["by"][:-1])]))
+    out = rows[first]
+    out["shared"] = np.add.reduceat(rows["shared"], first)
+    return out
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, by: int = 0) -> np.ndarray:
     """Distinct pairs (a < b) with the number of times that each occurs."""
-    if not len(a):
-        return
+    rows = np.empty(len(a), PAIR)
     swap = a > b
-    a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-    by = np.lexsort((b, a))
-    a, b, na, nb = a[by], b[by], na[by], nb[by]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    times = np.diff(np.append(first, len(a)))
-    yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(na[first].astype(np.int64)), pa.array(nb[first].astype(np.int64)), pa.array(times)], ["a", "b", "na", "nb", "shared"])
+    rows["a"], rows["b"], rows["na"], rows["nb"] = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
+    rows["by"], rows["shared"] = by, 1
+    return _summed(rows)
 
 
-PAIRS = "a long, b long, na long, nb long, shared long"
+def _dealt(kind: int, rows: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    """Rows packed by the block that they go to."""
+    by = np.argsort(block, kind="stable")
+    rows, block = rows[by], block[by]
+    cuts = np.flatnonzero(np.diff(block)) + 1
+    parts = [p.tobytes() for p in np.split(rows, cuts)] if len(rows) else []
+    blocks = block[np.concatenate([[0], cuts])] if len(rows) else block
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.int32()), pa.array(blocks.astype(np.int32)), pa.array(parts, pa.binary())], ["kind", "block", "packed"])
 
 
-def _groups(rows: np.ndarray) -> Iterator[np.ndarray]:
-    cuts = np.flatnonzero(rows["token"][1:] != rows["token"][:-1]) + 1
-    yield from np.split(rows, cuts)
+def _home(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(np.ascontiguousarray(keys).view(np.uint64), 8) % np.uint64(blocks)).astype(np.int64)
 
 
-def _counted(pairs: DataFrame, bounds: Bounds) -> DataFrame:
-    """Pairs whose prefixes share enough tokens."""
-    o = F.ceil(bounds.num * (F.col("na") + F.col("nb")) / (bounds.num + bounds.den))
-    left = lambda n: F.floor(n - F.ceil(bounds.num * n / bounds.den)) + 1 - n + o
-    # Postings have 32 bits of a token besides its block; two are given away for tokens of one rep that meet in them.
-    least = F.greatest(F.lit(1), F.least(left(F.col("na")), left(F.col("nb"))) - 2)
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= least).select("a", "b")
+def _block_count(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _with_leaders(postings: DataFrame, bounds: Bounds) -> DataFrame:
-    """Each rep of a token with the leader (least mixed digest) of its own size class and of the next smaller."""
+def _counted(pairs: DataFrame, bounds: Bounds) -> DataFrame:
+    """(a, b) of the packed pairs whose prefixes share enough tokens."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for posted in b.column(1).to_pylist():
-                rows = np.frombuffer(zlib.decompress(posted), POSTING)
-                rank = mix(rows["rep"].view(np.uint64) if rows["rep"].flags.c_contiguous else rows["rep"].copy().view(np.uint64), 5)
-                size_class = np.floor(np.log(rows["n"]) / np.log(bounds.den / bounds.num)).astype(np.int64)
-                key = rows["token"].astype(np.int64) << 8 | size_class
-                by = np.lexsort((rank, key))
-                rows, key = rows[by], key[by]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                lead = np.repeat(first, np.diff(np.append(first, len(key))))
-                # The leader of the class below, where the same token has one.
-                place = np.searchsorted(key[first], key - 1)
-                place = np.minimum(place, len(first) - 1)
-                below = np.where(key[first][place] == key - 1, first[place], lead)
-                me = np.arange(len(rows))
-                a, to = np.concatenate([me, me]), np.concatenate([lead, below])
-                fits = (a != to) & bounds.sizes(rows["n"][a].astype(np.int64), rows["n"][to].astype(np.int64))
-                fits[len(me) :] &= below != lead
-                a, to = a[fits], to[fits]
-                yield from _pair_rows(rows["rep"][a], rows["rep"][to], rows["n"][a], rows["n"][to])
-
-    return postings.mapInArrow(of, PAIRS)
+        rows = _summed(np.concatenate([np.empty(0, PAIR), *(np.frombuffer(p, PAIR) for b in batches for p in b.column(2).to_pylist())]))
+        rows = rows[rows["shared"] >= bounds.least_shared(rows["na"].astype(np.int64), rows["nb"].astype(np.int64))]
+        rows = rows[np.lexsort((rows["b"], rows["a"]))]
+        new = np.concatenate([[True], (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])])[: len(rows)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["a"][new])), pa.array(np.ascontiguousarray(rows["b"][new]))], ["a", "b"])
 
+    return pairs.repartitionById(_block_count(pairs), F.col("block")).mapInArrow(of, "a long, b long")
 
-def _between(postings: DataFrame, labels: DataFrame, bounds: Bounds) -> DataFrame:
-    """All pairs of one token's reps that are in different components; ``labels``: (node, component), others are their own."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Packed (rep, value) for each block about its reps: the component by ``labels`` (node, component), or else the rep's postings in all blocks.
+
+    Reps ask by block where their values meet; only packed rows are dealt out. Reps without a label get no answer.
+    """
+    blocks, counted = _block_count(postings), labels is None
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, posted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = np.frombuffer(zlib.decompress(posted), POSTING)
-                reps = np.unique(rows["rep"])
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(reps), pa.int32()), pa.array(reps)], ["block", "rep"])
+                reps, times = np.unique(np.frombuffer(zlib.decompress(posted), POSTING)["rep"], return_counts=True)
+                yield _dealt(1, np.column_stack([reps, np.full(len(reps), block), times]), _home(reps, blocks))
 
-    named = postings.mapInArrow(unpack, "block int, rep long").join(labels.select(F.col("node").alias("rep"), "component"), "rep")
-    both = named.select("block", "rep", "component", F.lit(None).cast("binary").alias("posted")).unionByName(postings.select("block", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("component"), "posted"))
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reps = np.ascontiguousarray(b.column(0).to_numpy())
+            yield _dealt(0, np.column_stack([reps, b.column(1).to_numpy(), np.zeros(len(reps), np.int64)]), _home(reps, blocks))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block's labels come before its postings."""
-        at, known, to = None, [], []
-
-        def pairs(posted: bytes) -> Iterator[pa.RecordBatch]:
-            rows = np.frombuffer(zlib.decompress(posted), POSTING)
-            reps = np.ascontiguousarray(rows["rep"])
-            component = reps.copy()
-            if known:
-                nodes, labels_of = np.concatenate(known), np.concatenate(to)
-                by = np.argsort(nodes)
-                nodes, labels_of = nodes[by], labels_of[by]
-                place = np.minimum(np.searchsorted(nodes, reps), len(nodes) - 1)
-                component = np.where(nodes[place] == reps, labels_of[place], reps)
-            n = rows["n"].astype(np.int64)
-            by = np.lexsort((n, rows["token"]))
-            token, reps, component, n = rows["token"][by], reps[by], component[by], n[by]
-            ends = np.searchsorted(token, token, "right")
-            # Of the reps of a token, in ascending size: row i with the row i + d, for d = 1, 2, ... while any fits.
-            live = np.arange(len(reps))
-            d, out, size = 1, [], 0
-            while len(live):
-                live = live[live + d < ends[live]]
-                live = live[bounds.den * n[live] >= bounds.num * n[live + d]]
-                differ = live[component[live] != component[live + d]]
-                out.append((reps[differ], reps[differ + d], n[differ], n[differ + d]))
-                size += len(differ)
-                if size > FLUSH:
-                    yield from _pair_rows(*(np.concatenate([o[i] for o in out]) for i in range(4)))
-                    out, size = [], 0
-                d += 1
-            if size:
-                yield from _pair_rows(*(np.concatenate([o[i] for o in out]) for i in range(4)))
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[np.ndarray]] = {0: [np.empty((0, 3), np.int64)], 1: [np.empty((0, 3), np.int64)]}
+        for b in batches:
+            for kind, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                got[kind].append(np.frombuffer(packed, np.int64).reshape(-1, 3))
+        named, asked = np.concatenate(got[0]), np.concatenate(got[1])
+        if counted:
+            reps, which = np.unique(asked[:, 0], return_inverse=True)
+            named = np.column_stack([reps, np.bincount(which, asked[:, 2], len(reps)).astype(np.int64)])
+        named = named[np.argsort(named[:, 0])]
+        if len(named) and len(asked):
+            place = np.minimum(np.searchsorted(named[:, 0], asked[:, 0]), len(named) - 1)
+            there = named[place, 0] == asked[:, 0]
+            yield _dealt(2, np.ascontiguousarray(named[place[there], :2]), asked[there, 1])
+
+    questions = postings.mapInArrow(ask, PACKED)
+    if labels is not None:
+        questions = questions.unionByName(labels.select("node", "component").mapInArrow(name, PACKED))
+    return questions.repartitionById(blocks, F.col("block")).mapInArrow(answer, PACKED)
+
+
+def _each_block(postings: DataFrame, labels: DataFrame | None, pairs_of: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]) -> DataFrame:
+    """Packed pairs that ``pairs_of`` (values of the block's reps, postings) gives of each block."""
+    blocks = _block_count(postings)
+    both = _answers(postings, labels).unionByName(postings.select(F.lit(3).alias("kind"), "block", F.col("posted").alias("packed")))
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, np.empty((0, 2), np.int64)
         for b in batches:
-            blocks = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for a, e in zip(cuts, cuts[1:]):
-                part = b.slice(a, e - a)
-                if blocks[a] != at:
-                    at, known, to = blocks[a], [], []
-                k = e - a - part.column(1).null_count
-                if k:
-                    known.append(part.column(1).slice(0, k).to_numpy(zero_copy_only=False).astype(np.int64))
-                    to.append(part.column(2).slice(0, k).to_numpy(zero_copy_only=False).astype(np.int64))
-                for posted in part.column(3).slice(k).to_pylist():
-                    yield from pairs(posted)
-
-    blocks = postings.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return both.repartition(int(blocks), "block").sortWithinPartitions("block", F.col("rep").asc_nulls_last()).mapInArrow(of, PAIRS)
+            for kind, block, packed in zip(*(c.to_pylist() for c in b.columns)):
+                if block != at:
+                    at, known = block, np.empty((0, 2), np.int64)
+                if kind == 2:  # a block's answers come before its postings
+                    known = np.concatenate([known, np.frombuffer(packed, np.int64).reshape(-1, 2)])
+                else:
+                    for rows in pairs_of(known[np.argsort(known[:, 0])], np.frombuffer(zlib.decompress(packed), POSTING)):
+                        yield _dealt(0, rows, _home(rows["a"] * np.int64(3) + rows["b"], blocks))
 
+    return both.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(of, PACKED)
 
-def _verified(texts: DataFrame, words: int, pairs: DataFrame, order, bounds: Bounds) -> DataFrame:
-    """Of a written table of pairs (a, b) those that link."""
-    spark = texts.sparkSession
 
-    wanted = spark.sparkContext.broadcast(sliced.members(pairs.select("a", "b")))
+def _looked_up(known: np.ndarray, reps: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Values of ``known`` (rep, value), ascending, or else of ``other``."""
+    if not len(known):
+        return other
+    place = np.minimum(np.searchsorted(known[:, 0], reps), len(known) - 1)
+    return np.where(known[place, 0] == reps, known[place, 1], other)
+
+
+def _with_leaders(postings: DataFrame, bounds: Bounds) -> DataFrame:
+    """Each rep of a token with the leaders of its own size class and of the next smaller, as packed pairs.
+
+    The first leader is the rep with the largest share of its prefix in other reps' prefixes: the text that others are edits
+    of has no tokens of its own. The second is the least under a hash, for groups without such a text.
+    """
+
+    def of(known: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+        _, token = np.unique(rows["token"], return_inverse=True)
+        reps, sizes = np.ascontiguousarray(rows["rep"]), rows["n"].astype(np.int64)
+        key = token.astype(np.int64) << 8 | np.floor(np.log(sizes) / np.log(bounds.den / bounds.num)).astype(np.int64)
+        hashed = mix(reps.view(np.uint64), 50)
+        own_only = -_looked_up(known, reps, np.ones(len(reps), np.int64)) / bounds.prefix(sizes)
+        for k, rank in enumerate(((hashed, own_only, key), (hashed, key))):
+            by = np.lexsort(rank)
+            own = key[by]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            a, b, na, nb = [], [], [], []
+            for below in (0, 1):
+                lead = first[np.minimum(np.searchsorted(own[first], own - below), len(first) - 1)]
+                fits = (own[lead] == own - below) & (reps[by] != reps[by][lead]) & bounds.sizes(sizes[by], sizes[by][lead])
+                for to, x in ((a, reps[by][fits]), (b, reps[by][lead][fits]), (na, sizes[by][fits]), (nb, sizes[by][lead][fits])):
+                    to.append(x)
+            yield _pairs(*(np.concatenate(x) for x in (a, b, na, nb)), by=k)
+
+    return _each_block(postings, None, of)
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _between(postings: DataFrame, labels: DataFrame, bounds: Bounds) -> DataFrame:
+    """All pairs of one token's reps that are in different components, packed; ``labels``: (node, component), others are their own."""
+
+    def of(known: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+        n = rows["n"].astype(np.int64)
+        by = np.lexsort((n, rows["token"]))
+        token, reps, n = rows["token"][by], np.ascontiguousarray(rows["rep"][by]), n[by]
+        component = _looked_up(known, reps, reps)
+        ends = np.searchsorted(token, token, "right")
+        # Of the reps of a token, in ascending size: row i with the row i + d, for d = 1, 2, ... while any fits.
+        live = np.arange(len(reps))
+        d, out, size = 1, [], 0
+        while len(live):
+            live = live[live + d < ends[live]]
+            live = live[bounds.den * n[live] >= bounds.num * n[live + d]]
+            differ = live[component[live] != component[live + d]]
+            out.append((reps[differ], reps[differ + d], n[differ], n[differ + d]))
+            size += len(differ)
+            if size > FLUSH:
+                yield _pairs(*(np.concatenate([o[i] for o in out]) for i in range(4)))
+                out, size = [], 0
+            d += 1
+        if size:
+            yield _pairs(*(np.concatenate([o[i] for o in out]) for i in range(4)))
+
+    return _each_block(postings, labels, of)
+
+
+def _sets(texts: DataFrame, words: int, reps: DataFrame) -> DataFrame:
+    """(rep, tokens) of at least the reps given, each once; what is not asked for is left out before anything is dealt out."""
+    wanted = texts.sparkSession.sparkContext.broadcast(sliced.members(reps))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = np.unpackbits(wanted.value).view(bool), set()
         for b in _parts(batches):
             rows = []
             found = shingle_sets(b.column(1).to_pylist(), words)
-            reps = np.array([digest(s) for s in found], np.int64)
-            for d, s, there in zip(reps.tolist(), found, marks[sliced.place(reps)]):
+            own = np.array([digest(s) for s in found], np.int64)
+            for d, s, there in zip(own.tolist(), found, marks[sliced.place(own)]):
                 if there and len(s) and d not in seen:
                     seen.add(d)
                     rows.append((d, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["rep", "tokens"])
 
+    return texts.mapInArrow(of, "rep long, tokens binary").groupBy("rep").agg(F.first("tokens").alias("tokens"))
+
+
+def _verified(texts: DataFrame, words: int, pairs: DataFrame, order, bounds: Bounds) -> DataFrame:
+    """Of a written table of pairs (a, b) those that link."""
+    sets = _sets(texts, words, pairs.select("a", "b"))
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = order.value
         for b in _parts(batches, 5000):
@@ -363,9 +431,8 @@ def _verified(texts: DataFrame, words: int, pairs: DataFrame, order, bounds: Bou
                 keep.append(_links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), own, bounds))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    each = texts.mapInArrow(sets, "rep long, tokens binary").groupBy("rep").agg(F.first("tokens").alias("tokens"))
-    first = pairs.join(each.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
-    second = first.join(each.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    first = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
+    second = first.join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     return second.mapInArrow(links, "a long, b long")
 
 
@@ -411,4 +478,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` that stay, with all their columns: of a component the row with the least id; ids are taken as unique."""
     found = similar_components(docs, id_col, text_col, words, num, den)
     dropped = scratch.save(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(dropped, docs[f"`{id_col}`"] == dropped["_dropped"], "left_anti")
+    own_id = F.col(f"`{id_col}`").cast("long")
+    maybe = sliced.among(dropped)(own_id)
+    # Rows outside the filter stay without being dealt out.
+    decided = docs.filter(maybe).join(dropped, own_id == F.col("_dropped"), "left_anti")
+    return docs.filter(~maybe).unionByName(decided)

@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICES = 16
 #: Bits of a membership filter; a place is a hash, so a filter may hold more than was put in, never less.
@@ -80,3 +82,19 @@ def members(keys: DataFrame) -> np.ndarray:
     for r in keys.mapInArrow(marked, schema).repartition(SLICES, "slice").mapInArrow(either, schema).collect():
         out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.packed, np.uint8)
     return out
+
+
+def among(keys: DataFrame) -> Callable[[Column], Column]:
+    """A predicate on a column of longs: true for all values of ``keys`` and for null, false for nearly all others.
+
+    It parts the few rows that a join decides about from the many that pass without being dealt out.
+    """
+    marks = keys.sparkSession.sparkContext.broadcast(members(keys))
+
+    @F.arrow_udf(T.BooleanType())
+    def there(values: pa.Array) -> pa.Array:
+        bits = np.unpackbits(marks.value).view(bool)
+        known = bits[place(values.fill_null(0).to_numpy(zero_copy_only=False))]
+        return pa.array(known | values.is_null().to_numpy(zero_copy_only=False))
+
+    return there
