@@ -31,7 +31,7 @@ STOP = 0.99
 LEAF = 32
 SHARD_ROWS = 16_384
 SEED = 11
-#: Leaves whose points are verified together.
+#: Leaves whose points are verified together at first; each further step takes twice as many.
 LEAVES = 4
 
 
@@ -102,10 +102,10 @@ class Shard:
         best: list[tuple[float, int]] = []
         waiting, reached = [], self.tree.leaves(p)
         points = self.tree.points
-        done = False
+        done, take = False, LEAVES
         while not done:
             least = np.inf
-            for _ in range(LEAVES):
+            for _ in range(take):
                 d, leaf = next(reached, (np.inf, None))
                 if leaf is None:
                     least, done = np.inf, True
@@ -113,6 +113,7 @@ class Shard:
                 least = d
                 gap = points[leaf] - p
                 waiting.append((leaf, (gap * gap).sum(1)))
+            take *= 2
             leaf = np.concatenate([w[0] for w in waiting])
             far = np.concatenate([w[1] for w in waiting])
             near = far <= least  # no leaf to come holds a nearer one
