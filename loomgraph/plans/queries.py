@@ -503,9 +503,9 @@ def g15_community_members(spark, d):
 _TERMS = retrieve.query_terms("where is the customer 0001 of supplier and nation?")
 
 
-@query("SELECT term, df, ln(1 + n / (1 + df)) AS idf FROM (SELECT term, count(*) FILTER (contains(lower(label), term)) AS df, count(*)::DOUBLE AS n FROM nodes, (VALUES " + ", ".join(f"('{t}')" for t in _TERMS) + ") v(term) GROUP BY term)", N)
+@query("SELECT term, df, round(ln(1 + n / (1 + df)), 6) AS idf FROM (SELECT term, count(*) FILTER (contains(lower(label), term)) AS df, count(*)::DOUBLE AS n FROM nodes, (VALUES " + ", ".join(f"('{t}')" for t in _TERMS) + ") v(term) GROUP BY term)", N)
 def a11_idf(spark, d):
-    return retrieve.document_frequencies(view(spark, d, "nodes"), _TERMS)
+    return retrieve.document_frequencies(view(spark, d, "nodes"), _TERMS).withColumn("idf", F.round("idf", 6))
 
 
 _SCORED = """WITH t AS (SELECT unnest([{terms}]) AS term), n AS (SELECT id, label, lower(source_file) AS src, lower(coalesce(rationale, '')) AS why, lower(label) AS nl, regexp_replace(lower(label), '[()]+$', '') AS bl,
