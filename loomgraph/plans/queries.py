@@ -965,3 +965,53 @@ def m11_cached_first(spark, d):
 @query("""WITH m AS (SELECT l_orderkey AS hid, array_to_string(list_distinct(list(l_partkey ORDER BY l_linenumber, l_partkey)), ',') AS x, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) SELECT hid, n FROM m""")
 def m7_distinct_members(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("hid")).agg(F.size(F.array_distinct(F.collect_list("l_partkey"))).cast("long").alias("n"))
+
+
+# --- caches and scopes ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT seq FROM edges WHERE source_file IN (SELECT source_file FROM edges WHERE seq % 7 = 0)", E)
+def m23_scope_guard(spark, d):
+    e = view(spark, d, "edges").select("seq", "source_file")
+    return incremental.in_scope(e, e.filter("seq % 7 = 0")).select("seq")
+
+
+_HASHED = "SELECT path, sha256(text) AS hash, doc_id FROM files"
+
+
+@query(f"WITH f AS ({_HASHED}), c AS (SELECT DISTINCT hash FROM f WHERE doc_id % 3 = 0) SELECT path, hash IN (SELECT hash FROM c) AS hit FROM f", "files")
+def m24_cache_split(spark, d):
+    f = view(spark, d, "files").select("path", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "doc_id")
+    hit, miss = incremental.cache_split(f.select("path", "hash"), f.filter("doc_id % 3 = 0").select("hash").distinct())
+    return hit.select("path", F.lit(True).alias("hit")).unionByName(miss.select("path", F.lit(False).alias("hit")))
+
+
+@query(f"WITH f AS ({_HASHED}) SELECT path FROM f WHERE hash IN (SELECT hash FROM f WHERE doc_id % 4 = 1)", "files")
+def m25_live_cache(spark, d):
+    f = view(spark, d, "files").select("path", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "doc_id")
+    return incremental.live_cache(f, f.filter("doc_id % 4 = 1")).select("path")
+
+
+@query("SELECT seq FROM edges WHERE source IN (SELECT id FROM nodes WHERE community <> 3) AND target IN (SELECT id FROM nodes WHERE community <> 3)", N, E)
+def k9_without_repository(spark, d):
+    n = view(spark, d, "nodes").withColumn("repo", F.col("community").cast("string"))
+    return incremental.without_repository(n, view(spark, d, "edges"), "3")[1].select("seq")
+
+
+@query("""WITH m AS (SELECT 'nation_' || CAST(c_nationkey AS VARCHAR) AS package, 'customer_' || CAST(c_custkey AS VARCHAR) AS file FROM customer WHERE c_custkey <= 100)
+          SELECT DISTINCT source, file AS target, relation FROM edges JOIN m ON target = package WHERE source LIKE 'supplier%'""", E)
+def m15_package_fan_out(spark, d):
+    key = lambda c: F.col(c).cast("string")
+    m = table(spark, d, "customer").filter("c_custkey <= 100").select(F.concat(F.lit("nation_"), key("c_nationkey")).alias("package"), F.concat(F.lit("customer_"), key("c_custkey")).alias("file"))
+    return incremental.fan_out_packages(view(spark, d, "edges").filter("source like 'supplier%'"), m)
+
+
+@query("""SELECT seq FROM edges WHERE relation NOT IN ('imports', 'imports_from', 're_exports') OR target NOT IN (SELECT 'nation_' || CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey <= 40 GROUP BY c_nationkey HAVING count(DISTINCT c_custkey) > 1)""", E)
+def m13_ambiguous_imports(spark, d):
+    m = table(spark, d, "customer").filter("c_custkey <= 40").select(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("module"), F.col("c_custkey").alias("file"))
+    return incremental.unambiguous_imports(view(spark, d, "edges").select("seq", "target", "relation"), m).select("seq")
+
+
+@query("SELECT s AS source, count(*) AS facts, count(DISTINCT p) AS properties FROM quads GROUP BY s", "quads")
+def a26_volume(spark, d):
+    return view(spark, d, "quads").groupBy(F.col("s").alias("source")).agg(F.count("*").alias("facts"), F.countDistinct("p").alias("properties"))
