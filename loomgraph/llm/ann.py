@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 PROJECTED = 8
 STOP = 0.99
-LEAF = 32
+LEAF = 64
 SHARD_ROWS = 16_384
 SEED = 11
 #: Leaves whose points are verified together at first; each further step takes twice as many.
@@ -104,15 +104,18 @@ class Shard:
         points = self.tree.points
         done, take = False, LEAVES
         while not done:
-            least = np.inf
+            least, fresh = np.inf, []
             for _ in range(take):
                 d, leaf = next(reached, (np.inf, None))
+                least = d
                 if leaf is None:
-                    least, done = np.inf, True
+                    done = True
                     break
-                least = d
-                gap = points[leaf] - p
-                waiting.append((leaf, (gap * gap).sum(1)))
+                fresh.append(leaf)
+            if fresh:
+                own_leaves = np.concatenate(fresh)
+                gap = points[own_leaves] - p
+                waiting.append((own_leaves, (gap * gap).sum(1)))
             take *= 2
             leaf = np.concatenate([w[0] for w in waiting])
             far = np.concatenate([w[1] for w in waiting])
@@ -149,7 +152,7 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_
     shards = max(1, -(-total // SHARD_ROWS))
     kept = sound.select((F.pmod("turn", F.lit(shards))).cast("int").alias("shard"), F.lit(None).cast("long").alias("turn"), "id", "v")
     asked = sound.filter("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "turn", "id", "v")
-    dealt = kept.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", F.col("turn").asc_nulls_first())
+    dealt = kept.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("turn").asc_nulls_first())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, at, ids, vectors = None, None, [], []
