@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm import worker
+
 BLOCK = 64
 BATCH_CHARS = 2_000_000
 MOST_PIECES = 1_000_000
@@ -217,6 +219,7 @@ _vocabularies: dict[str, Bpe] = {}
 
 def vocabulary(path: str) -> Bpe:
     """This worker's vocabulary."""
+    worker.claim("bpe")
     if path not in _vocabularies:
         _vocabularies[path] = Bpe(path)
     return _vocabularies[path]
@@ -262,3 +265,6 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.
             ends = own.offsets(np.frombuffer(b"".join(ids), "<u4"))[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
             yield b.column(0).slice(at, to - at), ids, [whole[a:e] for a, e in zip(ends, ends[1:])]
             at = to
+
+
+worker.cache("bpe", _vocabularies.clear)

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm import sliced, worker
 from loomgraph.plans import scratch
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -40,6 +41,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, row, digest, check, bytes) of every row; ``row`` tells rows of one run of this function apart."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("digests")
         part, at = TaskContext.get().partitionId() << 36, 0
         for b in batches:
             texts = [(t or b"").translate(LOWER) for t in b.column(1).cast(pa.large_binary()).to_pylist()]
@@ -187,15 +189,17 @@ def normalised_sha256(text) -> F.Column:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Only rows whose text has copies take part in a join that depends on the decision; of rows that repeat both
-    id and text one stays (``row_number`` over those few rows alone).
+    Rows whose id has no copies pass as they are read; only the others are joined with the decisions. Of rows that
+    repeat both id and text one stays (an aggregation over those few rows alone, if there are any).
     """
-    decided = scratch.save(exact_groups(docs, id_col, text_col, keep), "decided")
-    names = docs.columns
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"), F.col(f"`{id_col}`").cast("long").alias("_i"), normalised_sha256(F.col(f"`{text_col}`").cast("string")).alias("_s"))
-    copies = decided.filter("group_size > 1").groupBy(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_s")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
+    decided = exact_groups(docs, id_col, text_col, keep).filter("group_size > 1")
+    copies = scratch.save(decided.groupBy(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_s")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")), "decided")
+    own_id = F.col(f"`{id_col}`").cast("long")
+    has_copies = sliced.among(copies.select("_i").filter("_i is not null"))(own_id)
+    own = docs.filter(has_copies).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), own_id.alias("_i"), normalised_sha256(F.col(f"`{text_col}`").cast("string")).alias("_s"))
     on = own["_i"].eqNullSafe(copies["_i"]) & (own["_s"] == copies["_s"])
     joined = own.join(copies, on, "left").select("_d", own["_i"].alias("_i"), own["_s"].alias("_s"), "_kept", "_n")
-    once = joined.filter("_kept is null or (_kept and _n = 1)").select("_d")
-    repeated = joined.filter("_kept and _n > 1").groupBy("_i", "_s").agg(F.first("_d").alias("_d")).select("_d")
-    return once.unionByName(repeated).select("_d.*")
+    out = docs.filter(~has_copies).unionByName(joined.filter("_kept is null or (_kept and _n = 1)").select("_d.*"))
+    if copies.filter("_kept and _n > 1").limit(1).count():
+        out = out.unionByName(joined.filter("_kept and _n > 1").groupBy("_i", "_s").agg(F.first("_d").alias("_d")).select("_d.*"))
+    return out

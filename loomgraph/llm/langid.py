@@ -23,7 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomgraph.llm import worker
 from loomgraph.plans import scratch
 
 LONGEST = 4
@@ -33,7 +35,7 @@ MOST_LANGS = 256
 #: Longer words are judged by their first letters.
 WORD_LETTERS = 64
 #: Words outside the model whose n-grams a worker remembers.
-MOST_UNKNOWN = 400_000
+MOST_UNKNOWN = 150_000
 #: Words that a task counts before it passes the counts on.
 COUNTED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -100,6 +102,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
+        worker.claim("langid")
         split = [words(t) for t in texts]
         if not self.langs:
             return [("und", 0.0)] * len(texts)
@@ -193,13 +196,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose text has a language, with all their columns; ``und`` is rejected."""
-    model = fit(docs.filter(~held_out(id_col)), lang_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out(id_col)), lang_col, text_col))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [f[0] for i in range(0, b.num_rows, 1000) for f in shared.value.predict(b.column(at).slice(i, 1000).to_pylist())]
-            yield b.filter(pa.array([f != "und" for f in found], pa.bool_()))
+    @F.arrow_udf(T.BooleanType())
+    def has_language(texts: pa.Array) -> pa.Array:
+        return pa.array([f[0] != "und" for i in range(0, len(texts), 1000) for f in shared.value.predict(texts.slice(i, 1000).to_pylist())], pa.bool_())
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.filter(has_language(F.col(f"`{text_col}`").cast("string")))

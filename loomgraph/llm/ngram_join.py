@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import sliced
+from loomgraph.llm import sliced, worker
 from loomgraph.llm.exact_dedup import LOWER, MOST_HOT
 from loomgraph.plans import scratch
 from loomgraph.plans.components import components
@@ -46,7 +46,7 @@ COUNTERS = 1 << 20
 ORDERS = 3
 POSTING = np.dtype([("token", "<u8"), ("rep", "<i8"), ("n", "<u4")])
 FLUSH = 1 << 19
-_MOST_WORDS = 400_000
+_MOST_WORDS = 250_000
 
 
 class _Hashes(dict):
@@ -58,6 +58,7 @@ class _Hashes(dict):
 
 
 _words = _Hashes()
+worker.cache("words", _words.clear)
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -70,6 +71,7 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z lower-cased and cut at ASCII white space, and how many each text has."""
+    worker.claim("words")
     split = [t.encode().translate(LOWER).split() if t else [] for t in texts]
     if len(_words) > _MOST_WORDS:
         _words.clear()

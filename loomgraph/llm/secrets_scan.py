@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm import worker
+
 #: In the order in which kinds at the same place are listed.
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -48,6 +50,7 @@ def base62_crc(body: str) -> str:
 
 def _hits():
     global _automaton
+    worker.claim("secrets")
     if _automaton is None:
         import ahocorasick
 

@@ -21,7 +21,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-MOST_CHUNKS = 1_000_000
+from loomgraph.llm import worker
+
+MOST_CHUNKS = 600_000
 #: Longer chunks are encoded but not kept.
 LONG_CHUNK = 200
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
@@ -107,6 +109,10 @@ class ChunkEncoder:
 
 def encoder(path: str, style: str) -> ChunkEncoder:
     """This worker's encoder for a tokenizer file."""
+    worker.claim("tokens")
     if (path, style) not in _encoders:
         _encoders[path, style] = ChunkEncoder(path, style)
     return _encoders[path, style]
+
+
+worker.cache("tokens", _encoders.clear)

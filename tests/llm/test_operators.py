@@ -475,3 +475,16 @@ def test_fenwick():
         values[i] = max(values[i], v)
         n = rng.randint(0, 40)
         assert tree.top(n) == max(values[:n], default=(-1e300, -1))
+
+
+def test_one_operator_holds_a_worker():
+    from loomgraph.llm import worker
+
+    worker.claim("words")
+    ngram_join.word_hashes(["a b c"])
+    assert ngram_join._words
+    own = tokens.encoder(queries.tokenizer("word_bpe_49k.json"), "words")
+    own.encode(["a b c"])
+    assert not ngram_join._words and tokens._encoders
+    ngram_join.word_hashes(["a"])
+    assert not tokens._encoders
