@@ -5,12 +5,19 @@
    for the join; every further place is matched there and then with the first and with the place before. So a
    seed that a third of all documents share is one row for each task, never a group of documents.
 2. Seeds of all tasks meet by hash in packed blocks and are matched in the same way. Matches meet by pair of documents.
+   What comes of them links most documents of a group to its leaders.
 3. Chains. Matches on one diagonal are joined to fragments; fragments are chained by a sweep over the first document
    with a Fenwick tree over the second, which holds for every prefix the best chain whose gap costs
    (``GAP`` for each word skipped in either) are still to be paid.
 4. Alignment. The words of both sides of each chain are fetched by two equi-joins that adaptive execution may split,
    fragments are compared word by word, gaps by their longest common subsequence, ends extended. A chain less similar than
    asked for is cut at its largest gap and its parts are judged.
+5. The rest. Passages that overlap in a document or are matched are one component. Then every place of a seed is matched
+   with every other one, but for two places within the same component. A seed that many documents have is matched
+   where a second seed within ``REACH`` words is shared too, as a chain of one seed is below the floor.
+
+   Places of a seed that documents repeat more than ``MOST_REPEATS`` times on average are matched in order from both ends
+   only, so of such repetitions some middle copies may go unmatched.
 
 One row is returned for each passage of a document and the document that it was matched with. Every document that
 shares a passage is in some row, not every pair of a group is.
@@ -28,12 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import sliced
 from loomgraph.llm.ngram_join import _parts, _texts, mix, word_hashes
 from loomgraph.plans import scratch
+from loomgraph.plans.components import components
 
 K = 6
 WINDOW = 10
@@ -44,7 +52,18 @@ AROUND = 24
 #: Gaps with more words than this on a side count as different throughout.
 LONG_GAP = 200
 FLUSH = 1 << 21
+#: Seeds whose counter is beyond this, and beyond four times the mean, are matched together with a second seed.
+MOST_ALONE = 64
+#: Words between the two seeds: the floor's words and another fragment's longest step.
+REACH = 32
+COUNTERS = 1 << 20
+#: Places of a token for each document that has it, from which on they are matched in order.
+MOST_REPEATS = 4
+#: Matches made at a time.
+MOST_PAIRS = 1 << 20
 SEED = np.dtype([("token", "<u4"), ("doc", "<i8"), ("at", "<u4")])
+PLACE = np.dtype([("token", "<u8"), ("at", "<u4")])
+LABELLED = np.dtype([("token", "<u8"), ("doc", "<i8"), ("label", "<i8"), ("at", "<u4")])
 MATCH = np.dtype([("doc", "<i8"), ("other", "<i8"), ("x", "<i4"), ("y", "<i4")])
 CHAIN = "doc_id long, other_id long, x0 int, x1 int, y0 int, y1 int, parts binary"
 
@@ -103,16 +122,101 @@ def matched(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], out
 
 
+def labelled(doc: np.ndarray, at: np.ndarray, token: np.ndarray, label: np.ndarray, often: np.ndarray, apart: int) -> np.ndarray:
+    """The places of whole documents to be matched, seeds that ``often`` marks once with each seed in reach.
+
+    Two such seeds that begin less than ``apart`` words from each other make no chain of the floor's length.
+    """
+    by = np.lexsort((at, doc))
+    doc, at, token, label = doc[by], at[by].astype(np.int64), token[by], label[by]
+    hot = often[(token >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64)]
+    tokens, mine = [token[~hot]], [np.flatnonzero(~hot)]
+    for step in range(1, REACH + 1):
+        far = at[step:] - at[:-step]
+        near = np.flatnonzero((doc[step:] == doc[:-step]) & (far <= REACH))
+        if not len(near):
+            break
+        near = near[~hot[near] | ~hot[near + step] | (far[near] >= apart)]
+        for own, other in ((near, near + step), (near + step, near)):
+            own, other = own[hot[own]], other[hot[own]]
+            tokens.append(mix(token[own] + mix(token[other], 23), 24))
+            mine.append(own)
+    mine = np.concatenate(mine)
+    out = np.empty(len(mine), LABELLED)
+    out["token"], out["doc"], out["label"], out["at"] = np.concatenate(tokens), doc[mine], label[mine], at[mine]
+    out = out[np.lexsort((out["at"], out["doc"], out["token"]))]
+    new = (out["token"][1:] != out["token"][:-1]) | (out["doc"][1:] != out["doc"][:-1]) | (out["at"][1:] != out["at"][:-1])
+    return out[np.concatenate([[True], new])] if len(out) else out
+
+
+def aligned(rows: np.ndarray) -> np.ndarray:
+    """Rows of tokens that documents repeat over and over get the place's number from either end into their tokens.
+
+    So two documents full of one word are matched place by place, not each place with each.
+    """
+    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["token"]))]
+    if not len(rows):
+        return rows
+    new = np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])
+    new_doc = new | np.concatenate([[True], rows["doc"][1:] != rows["doc"][:-1]])
+    token = np.cumsum(new) - 1
+    often = (np.bincount(token) > MOST_REPEATS * np.bincount(token, new_doc))[token]
+    begin = np.flatnonzero(new_doc)
+    own = np.cumsum(new_doc) - 1
+    end = np.append(begin[1:], len(rows))
+    again = rows[often], rows[often]
+    again[0]["token"] = mix(again[0]["token"] + mix((np.arange(len(rows)) - begin[own])[often].astype(np.uint64), 25), 26)
+    again[1]["token"] = mix(again[1]["token"] + mix((end[own] - np.arange(len(rows)))[often].astype(np.uint64), 27), 28)
+    return np.concatenate([rows[~often], *again])
+
+
+def all_matched(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """The matches of all places of a token, but for those of one document or one component; some at a time."""
+    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["label"], rows["token"]))]
+    n = len(rows)
+    if not n:
+        return
+    number = np.cumsum(np.concatenate([[False], rows["token"][1:] != rows["token"][:-1]]))
+    after = np.searchsorted(number, number, "right")
+    same = np.concatenate([[True], (rows["label"][1:] != rows["label"][:-1]) | (number[1:] != number[:-1])])
+    run_end = np.append(np.flatnonzero(same)[1:], n)[np.cumsum(same) - 1]
+    # Sorted by label, the partners of a place in a component are all places behind its own run.
+    first = np.where(rows["label"] == 0, np.arange(n) + 1, run_end)
+    count = after - first
+    total = np.cumsum(count)
+    start = 0
+    while start < n:
+        done = int(total[start - 1]) if start else 0
+        stop = max(int(np.searchsorted(total, done + MOST_PAIRS, "right")), start + 1)
+        k = count[start:stop]
+        me = np.repeat(np.arange(start, stop), k)
+        to = np.arange(len(me)) - np.repeat(np.cumsum(k) - k, k) + first[me]
+        apart = rows["doc"][me] != rows["doc"][to]
+        me, to = me[apart], to[apart]
+        swap = rows["doc"][me] < rows["doc"][to]
+        me, to = np.where(swap, to, me), np.where(swap, me, to)
+        if len(me):
+            out = np.empty(len(me), MATCH)
+            out["doc"], out["x"], out["other"], out["y"] = rows["doc"][me], rows["at"][me], rows["doc"][to], rows["at"][to]
+            yield out
+        start = stop
+
+
 def _dealt(rows: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, bytes]]:
     by = np.argsort(block, kind="stable")
     rows, block = rows[by], block[by]
     cuts = np.flatnonzero(np.diff(block)) + 1
     for start, part in zip(np.concatenate([[0], cuts]).tolist(), np.split(rows, cuts)):
         if len(part):
-            yield int(block[start]), part.tobytes()
+            yield int(block[start]), part.view(np.uint8).reshape(len(part), -1).T.tobytes()  # byte by byte, to be packed smaller
+
+
+def _unpacked(packed: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 def _by_pair(matches: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+    matches = matches[np.lexsort((matches["x"], matches["other"], matches["doc"]))]
     key = mix(matches["doc"].astype(np.uint64) * np.uint64(3) + matches["other"].astype(np.uint64), 19)
     return _dealt(matches, (key % np.uint64(blocks)).astype(np.int64))
 
@@ -275,19 +379,19 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         by: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for block, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                by.setdefault(block, []).append(np.frombuffer(zlib.decompress(packed), SEED))
+                by.setdefault(block, []).append(_unpacked(packed, SEED))
         for parts in by.values():
             yield _rows("match", list(_by_pair(matched(np.concatenate(parts))[1], blocks)))
 
     packed = "kind string, block int, packed binary"
-    sown = scratch.save(texts.mapInArrow(sow, packed), "seeds")
+    sown, sown_path = scratch.table(texts.mapInArrow(sow, packed), "seeds")
     met = sown.filter("kind = 'seed'").repartitionById(blocks, F.col("block")).mapInArrow(meet, packed)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for block, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                by.setdefault(block, []).append(np.frombuffer(zlib.decompress(raw), MATCH))
+                by.setdefault(block, []).append(_unpacked(raw, MATCH))
         for parts in by.values():
             found = [(d, o, c[0][0], max(f[0] + f[2] for f in c), c[0][1], max(f[1] + f[2] for f in c), np.array(c, "<i4").tobytes()) for d, o, c in chains_of(np.unique(np.concatenate(parts)), least)]
             for i in range(0, len(found), 5000):
@@ -296,7 +400,98 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     matches = sown.filter("kind = 'match'").unionByName(met)
     found = scratch.save(matches.repartitionById(blocks, F.col("block")).mapInArrow(link, CHAIN), "chains")
+    scratch.drop(spark, sown_path)
+
+    linked = scratch.save(_judged(texts, found, least_words, least_similarity), "passages")
+    rest = _unlinked(texts, linked, blocks, int(least) - K).repartitionById(blocks, F.col("block")).mapInArrow(link, CHAIN)
+    more = _judged(texts, scratch.save(rest, "chains"), least_words, least_similarity)
+    return linked.unionByName(more).distinct()
+
+
+def _covered(linked: DataFrame) -> DataFrame:
+    """(doc_id, covered): per document the ranges of words within passages and the component of each."""
+    sides = linked.select("doc_id", "start", (F.col("start") + F.col("n_words")).alias("end")).unionByName(linked.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), (F.col("other_start") + F.col("other_n_words")).alias("end")))
+    sides = sides.groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    opened = sides.withColumn("low", F.when(F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)), F.col("start")))
+    upto = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = scratch.save(opened.withColumn("low", F.max("low").over(upto)).withColumn("node", F.xxhash64("doc_id", "low")), "ranges")
+    mine = ranges.select("doc_id", "start", F.col("node").alias("a"))
+    theirs = ranges.select(F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("node").alias("b"))
+    edges = linked.select("doc_id", "start", "other_id", "other_start").join(mine, ["doc_id", "start"]).join(theirs, ["other_id", "other_start"]).select("a", "b")
+    whole = ranges.groupBy("doc_id", "low", "node").agg(F.max("end").alias("high"))
+    placed = whole.join(components(edges), "node").select("doc_id", F.struct("low", "high", "component").alias("range"))
+    return placed.groupBy("doc_id").agg(F.collect_list("range").alias("covered"))
+
+
+def _unlinked(texts: DataFrame, linked: DataFrame, blocks: int, apart: int) -> DataFrame:
+    """Packed matches of all places of each seed that are not within passages of one component."""
+
+    def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(COUNTERS, np.int64)
+        for b in _parts(batches):
+            text, at, grams = seeds(*word_hashes(b.column(1).to_pylist()))
+            by = np.lexsort((text, grams))
+            once = by[np.concatenate([[True], (grams[by][1:] != grams[by][:-1]) | (text[by][1:] != text[by][:-1])])] if len(by) else by
+            counters += np.bincount((grams[once] >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64), minlength=COUNTERS)
+            rows = np.empty(len(text), PLACE)
+            rows["token"], rows["at"] = grams, at
+            each = np.split(rows, np.searchsorted(text, np.arange(1, b.num_rows)))
+            k = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.tobytes() for e in each], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "places", "slice", "packed"])
+        for k, packed in sliced.spread(counters):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["doc_id", "places", "slice", "packed"])
+
+    sown = scratch.save(texts.mapInArrow(sow, "doc_id long, places binary, slice int, packed binary"), "places")
+    mean = (sown.agg(F.sum(F.length("places"))).first()[0] or 0) / PLACE.itemsize / COUNTERS
+    often = texts.sparkSession.sparkContext.broadcast(sliced.total(sown.filter("slice is not null").select("slice", "packed"), COUNTERS, lambda s: s > MOST_ALONE + 4 * mean))
+    placed = sown.filter("slice is null and length(places) > 0").select("doc_id", "places").join(_covered(linked), "doc_id", "left")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = often.value.astype(bool)
+        waiting, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            rows = np.concatenate(waiting)
+            waiting.clear()
+            size = 0
+            rows = rows[np.argsort(rows["token"])]
+            return _rows("seed", list(_dealt(rows, (rows["token"] % np.uint64(blocks)).astype(np.int64))))
+
+        for b in _parts(batches):
+            each = [np.frombuffer(p, PLACE) for p in b.column(1).to_pylist()]
+            counts = np.array([len(p) for p in each])
+            places, begins = np.concatenate(each), np.cumsum(counts) - counts
+            label = np.zeros(len(places), np.int64)
+            for k, covered in enumerate(b.column(2).to_pylist()):
+                own = slice(begins[k], begins[k] + counts[k])
+                at = places["at"][own].astype(np.int64)
+                for c in covered or ():
+                    label[own][(at + K > c["low"]) & (at < c["high"])] = c["component"]
+            waiting.append(labelled(np.repeat(b.column(0).to_numpy(), counts), places["at"], places["token"], label, hot, apart))
+            size += len(waiting[-1])
+            if size >= FLUSH // 2:
+                yield flush()
+        if size:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for block, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                by.setdefault(block, []).append(_unpacked(packed, LABELLED))
+        for parts in by.values():
+            for matches in all_matched(aligned(np.concatenate(parts))):
+                yield _rows("match", list(_by_pair(matches, blocks)))
+
+    packed = "kind string, block int, packed binary"
+    return placed.mapInArrow(deal, packed).repartitionById(blocks, F.col("block")).mapInArrow(meet, packed)
+
 
+def _judged(texts: DataFrame, found: DataFrame, least_words: int, least_similarity: float) -> DataFrame:
+    """The passages of chains."""
+    spark = texts.sparkSession
     marks = spark.sparkContext.broadcast(sliced.members(found.select(F.explode(F.array("doc_id", "other_id")).alias("id")).distinct()))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -488,3 +488,23 @@ def test_one_operator_holds_a_worker():
     assert not ngram_join._words and tokens._encoders
     ngram_join.word_hashes(["a"])
     assert not tokens._encoders
+
+
+def test_passage_whose_seeds_have_other_partners(spark):
+    rng = random.Random(3)
+    unique = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n))
+    for _ in range(4):
+        left, sentence, right = unique(18), unique(24), unique(18)
+        rows = [(1, unique(30) + " " + sentence + " " + unique(30)), (2, " ".join([unique(9), left, sentence, right, unique(9)])), (3, unique(30) + " " + sentence + " " + unique(30)), (4, " ".join([unique(15), left, sentence, right, unique(5)]))]
+        found = chains.passages(frame(spark, rows)).collect()
+        assert {(r.doc_id, r.other_id) for r in found} == {(4, 2)}
+        assert found[0].n_words == 60 and found[0].similarity == 1
+
+
+def test_all_places_but_those_of_one_component():
+    rng = random.Random(4)
+    rows = np.array([(rng.randrange(4), rng.randrange(6), rng.choice([0, 0, 7, -9]), k) for k in range(80)], chains.LABELLED)
+    found = [m for part in chains.all_matched(rows) for m in part.tolist()]
+    places = rows.tolist()
+    expected = {frozenset([(d, x), (o, y)]) for t, d, a, x in places for u, o, b, y in places if t == u and d != o and (a != b or a == 0)}
+    assert {frozenset([(d, x), (o, y)]) for d, o, x, y in found} == expected and len(found) == len(expected)
