@@ -32,7 +32,7 @@ LONGEST = 4
 MOST_WORDS = 100_000
 MOST_GRAMS = 20_000
 MOST_LANGS = 256
-#: Longer words are judged by their first letters.
+#: Longer words outside the model are judged anew each time they are met, and not remembered.
 WORD_LETTERS = 64
 #: Words outside the model whose n-grams a worker remembers.
 MOST_UNKNOWN = 150_000
@@ -82,15 +82,16 @@ class Model:
 
     def of_unknown(self, word: str) -> np.ndarray:
         """Log frequency per language of the n-grams that cover a word: at each place the longest that is known."""
-        w, at, logs = f"\x02{word[:WORD_LETTERS]}\x03", 0, []
+        w, at, total, n_logs = f"\x02{word}\x03", 0, np.zeros(len(self.langs)), 0
         while at < len(w):
             for n in range(min(LONGEST, len(w) - at), 0, -1):
                 found = self.grams[n - 1].get(w[at : at + n])
                 if found is not None:
                     break
-            logs.append(self.unseen if found is None else found)
+            total += self.unseen if found is None else found
+            n_logs += 1
             at += n
-        return np.mean(logs, 0)
+        return total / n_logs
 
     def _learn(self, unknown: set[str]) -> None:
         need = len(self.index) + len(unknown)
@@ -108,13 +109,18 @@ class Model:
             return [("und", 0.0)] * len(texts)
         if len(self.index) > self.known + MOST_UNKNOWN:
             self.index = dict(list(self.index.items())[: self.known])
-        self._learn(set().union(*split) - self.index.keys())
-        get, out = self.index.__getitem__, []
+        self._learn({w for w in set().union(*split) - self.index.keys() if len(w) <= WORD_LETTERS})
+        get, out = self.index.get, []
         for own in split:
             if not own:
                 out.append(("und", 0.0))
                 continue
-            mean = self.table[np.fromiter(map(get, own), np.int64, len(own))].mean(0)
+            rows = list(map(get, own))
+            if None in rows:  # long words outside the model
+                table = np.array([self.of_unknown(w) if i is None else self.table[i] for w, i in zip(own, rows)])
+            else:
+                table = self.table[np.array(rows, np.int64)]
+            mean = table.mean(0)
             share = np.exp(SHARPNESS * (mean - mean.max()))
             best = int(np.argmax(mean))
             out.append((self.langs[best], float(share[best] / share.sum())))
@@ -158,7 +164,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
         for b in batches:
             counts: Counter = Counter()
             for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
-                for g in grams(word[:WORD_LETTERS]):
+                for g in grams(word):
                     counts[lang, g] += n
             rows = list(counts.items())
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["lang", "gram", "n"])

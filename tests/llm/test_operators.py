@@ -389,6 +389,22 @@ def test_language_backs_off(spark):
     assert langid.drop_unknown(df.unionByName(spark.createDataFrame([(999, "12 34", None)], df.schema))).count() == 40
 
 
+def test_language_of_long_unbroken_text(spark):
+    german, english = "einschönertagundnacht", "thedayandthenight"
+    schema = "doc_id long, text string, lang string"
+    short = spark.createDataFrame([(i, "ein schöner tag und nacht", "de") for i in range(20)] + [(100 + i, "the day and the night", "en") for i in range(20)], schema)
+    model = langid.fit(short)
+    long = [german * 4 + english * 1000, english * 5 + german * 1000]
+    known = len(model.index)
+    assert [f[0] for f in model.predict(long)] == ["en", "de"]
+    assert [f[0] for f in model.predict([f"{long[0]} the", f"{long[1]} und"])] == ["en", "de"]
+    assert len(model.index) == known  # long words are not remembered
+    # Letters after the 64th teach as well.
+    late = spark.createDataFrame([(1, "x" * 70 + german * 50, "de"), (2, "x" * 70 + english * 50, "en")], schema)
+    model = langid.fit(late)
+    assert [f[0] for f in model.predict([german, english])] == ["de", "en"]
+
+
 # --- secrets --------------------------------------------------------------------------------------------------------
 
 
