@@ -11,11 +11,18 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+#: Paths given out and not dropped since, in order.
+_made: list[str] = []
+#: Seconds between two collections of plans that nothing refers to, whose shuffle files Spark then deletes.
+COLLECT_EVERY = 5.0
+_collected = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def place(spark: SparkSession, label: str) -> str:
     """A new path for an intermediate table or file set of this application."""
-    return f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
@@ -45,10 +54,13 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 def table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As ``save``; also returns the path, for ``drop``."""
+    global _collected
     spark = df.sparkSession
     path = place(spark, label)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of plans that nothing refers to any more
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -58,8 +70,20 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
+    """Write what ``make`` returns, as ``table`` does, and delete all intermediate tables that it wrote on the way."""
+    before = set(_made)
+    result, path = table(make(), label)
+    for own in [p for p in _made if p not in before and p != path]:
+        drop(spark, own)
+    return result, path
 
 
 def drop_all(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; call it when all results are written."""
     drop(spark, f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}")
+    _made.clear()
