@@ -148,7 +148,8 @@ def pack(cuts: DataFrame, capacity: int) -> DataFrame:
             columns = [b.column(i) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(first[at] + inner // each[at]), pa.array(offset[at] + inner % each[at] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cuts.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
+    # The table of counts grows with the tasks: a shuffled join at any size. No key has more rows than one task wrote.
+    ranked = cuts.join(before.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
     return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
