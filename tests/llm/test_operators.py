@@ -21,6 +21,16 @@ ODD = [None, "", " ", "\n\t", "a", "A", "é É", "one two three", "x" * 5000, "t
 WORDS = "river stone lamp carry window morning paper silent garden number follow bright winter market simple copper distant engine ribbon valley".split()
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|"]
+
+
+def fresh(name):
+    """The library as it comes."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer(name))
+
+
 def frame(spark, rows):
     """Documents with all the columns that have names of the operators' own."""
     return spark.createDataFrame([(i, t, "en", "s", None, 1, 2, "x", 3, 4, True) for i, t in rows], SCHEMA)
@@ -42,6 +52,7 @@ def odd_rows():
         if k % 3 == 2:
             t = t + prose(rng, 4).split()
         rows.append((100 + k, " ".join(t) if k % 4 else " ".join(t).upper()))
+    rows += [(300 + k, f"before {s} after{s}") for k, s in enumerate(SPECIAL)]
     return [*rows, (None, base[0]), (None, None), (3, "\n\t"), (100, rows[len(ODD)][1])]
 
 
@@ -87,16 +98,24 @@ def test_exact_drop(spark, odd_rows):
 @pytest.mark.parametrize("name,style", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
 def test_chunks_are_exact(name, style):
     rng = random.Random(1)
-    own = tokens.ChunkEncoder(queries.tokenizer(name), style)
+    own = tokens.TextEncoder(queries.tokenizer(name), style)
     signs = " \n\t\r\x1c  ab1'slé́!·Σς०  "
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [t for t in ODD if t]
+    texts += ["".join(rng.choice(" \n'stmdrevlLab1,é") for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    library = fresh(name)
+    texts += [f"a {s} b{s}c" for s in SPECIAL] + [s * 3 for s in SPECIAL] + [" ".join(SPECIAL) * 40]
     for t, ids in zip(texts, own.encode(texts)):
-        assert np.frombuffer(ids, own.dtype).tolist() == own.library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, own.dtype).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
-def test_special_strings_are_text():
-    own = tokens.ChunkEncoder(queries.tokenizer("byte_bpe_50k.json"), "spaced")
-    assert 50256 not in np.frombuffer(own.encode(["a <|endoftext|> b"])[0], own.dtype).tolist()
+def test_old_units_stay_known(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_UNITS", 50)
+    own, library, rng = tokens.TextEncoder(queries.tokenizer("byte_bpe_50k.json"), "spaced"), fresh("byte_bpe_50k.json"), random.Random(6)
+    for _ in range(40):
+        texts = [prose(rng, 20) + f" {rng.randrange(10**6)}x" for _ in range(5)]
+        for t, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, own.dtype).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(own.pieces) < 300 and len(own.pieces.old) < 300
 
 
 @settings(max_examples=25, deadline=None)
@@ -136,7 +155,7 @@ def test_token_files(spark, odd_rows, tmp_path):
     path = queries.tokenizer("word_bpe_49k.json")
     rans.write(rans.tokenise(frame(spark, odd_rows).repartition(5), path, "words", 1), str(tmp_path / "f"))
     found = rans.read(spark, str(tmp_path / "f")).orderBy("start").collect()
-    library = tokens.ChunkEncoder(path, "words").library
+    library = fresh("word_bpe_49k.json")
     want = Counter((i, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t in odd_rows)
     assert Counter((r.doc_id, r.ids_crc32) for r in found) == want
     ids = [r.doc_id for r in found]
@@ -276,7 +295,7 @@ def test_cut():
 def test_packing(spark, odd_rows):
     path = queries.tokenizer("byte_bpe_50k.json")
     found = packing.pack_documents(frame(spark, odd_rows).repartition(3), path, capacity=64).collect()
-    library = tokens.ChunkEncoder(path, "spaced").library
+    library = fresh("byte_bpe_50k.json")
     want = Counter()
     for i, t in odd_rows:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -386,7 +405,64 @@ def test_language_backs_off(spark):
     assert model.predict(["nighting them"])[0][0] == "en"
     none = langid.fit(df.limit(0))
     assert none.predict(["word", None]) == [("und", 0.0), ("und", 0.0)]
-    assert langid.drop_unknown(df.unionByName(spark.createDataFrame([(999, "12 34", None)], df.schema))).count() == 40
+    kept = langid.keep_languages(df.unionByName(spark.createDataFrame([(999, "12 34", None), (998, "schöner tag", None)], df.schema))).collect()
+    assert len(kept) == 41 and {r.doc_id: r.lang for r in kept}[998] == "de"
+    assert langid.keep_languages(df, ["en"]).count() == 20
+    assert langid.keep_languages(df.limit(0)).count() == 0
+
+
+def plain_language(rows, texts):
+    """Language and score of texts, counted and scored one by one."""
+    langs = sorted({lang for lang, _ in rows})
+    known, grams = defaultdict(Counter), [defaultdict(Counter) for _ in range(4)]
+    for lang, text in rows:
+        for w in langid.words(text):
+            known[w][lang] += 1
+            for n in range(1, 5):
+                for i in range(len(w) + 3 - n):
+                    grams[n - 1][f"\x02{w}\x03"[i : i + n]][lang] += 1
+
+    def log(table, unit, lang):
+        return np.log((table[unit][lang] + 0.5) / (sum(c[lang] for c in table.values()) + 0.5 * len(table) + 0.5))
+
+    def cover(w):
+        w, at, found = f"\x02{w}\x03", 0, []
+        while at < len(w):
+            n = next((n for n in range(min(4, len(w) - at), 0, -1) if w[at : at + n] in grams[n - 1]), 0)
+            found.append([log(grams[n - 1], w[at : at + n], lang) for lang in langs] if n else [-20.0] * len(langs))
+            at += n or 1
+        return np.mean(found, 0)
+
+    for t in texts:
+        own = langid.words(t)
+        if not own:
+            yield "und", 0.0
+            continue
+        mean = np.mean([[log(known, w, lang) for lang in langs] if w in known else cover(w) for w in own], 0)
+        share = np.exp(langid.SHARPNESS * (mean - mean.max()))
+        yield langs[int(mean.argmax())], share.max() / share.sum()
+
+
+def test_language_scores_are_plain_ones(spark, odd_rows):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(24).collect()]
+    docs = [(i, " ".join((t or "").split()[:60]), lang) for i, t, lang in docs]
+    rows = docs + [(10**5 + k, t, None) for k, (_, t) in enumerate(odd_rows)] + [(None, "no id teaches nothing", "xx"), (docs[0][0], docs[0][1], docs[0][2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"n": F.lit(1), "word": F.lit(2), "gram": F.lit(3)})
+    teach = [(lang, t) for i, t, lang in rows if lang and i is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = dict(zip([t for _, t, _ in rows], plain_language(teach, [t for _, t, _ in rows])))
+    found = langid.identify(df).join(df.select("doc_id", "text"), "doc_id").collect()
+    assert found
+    for r in found:
+        lang, score = want[r.text]
+        assert abs(r.score - score) < 1e-9 and (r.lang_pred == lang or score < 0.5001), r
+
+
+def test_language_sample_keeps_every_language(spark):
+    rows = [(i, "the day and the night", "en") for i in range(3000)] + [(10**6 + i, f"wort{'abcdefghij'[i % 10]} tag", f"l{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert 60 < langid.sampled(df.filter("lang = 'en'"), 100, "lang", "doc_id").count() < 150
+    model = langid.fit(df, rows_per_lang=100)
+    assert len(model.langs) == 301 and all(0 <= s <= 1 for _, s in model.predict(["wortc tag", "the night", "zz"]))
 
 
 def test_language_of_long_unbroken_text(spark):
@@ -395,10 +471,10 @@ def test_language_of_long_unbroken_text(spark):
     short = spark.createDataFrame([(i, "ein schöner tag und nacht", "de") for i in range(20)] + [(100 + i, "the day and the night", "en") for i in range(20)], schema)
     model = langid.fit(short)
     long = [german * 4 + english * 1000, english * 5 + german * 1000]
-    known = len(model.index)
+    known = len(model.rows)
     assert [f[0] for f in model.predict(long)] == ["en", "de"]
     assert [f[0] for f in model.predict([f"{long[0]} the", f"{long[1]} und"])] == ["en", "de"]
-    assert len(model.index) == known  # long words are not remembered
+    assert len(model.rows) == known  # long words are not remembered
     # Letters after the 64th teach as well.
     late = spark.createDataFrame([(1, "x" * 70 + german * 50, "de"), (2, "x" * 70 + english * 50, "en")], schema)
     model = langid.fit(late)

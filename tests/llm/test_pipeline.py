@@ -5,10 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_operators import components_of, normal
+from test_operators import components_of, fresh, normal
 
 import corpus_pipeline
-from loomgraph.llm import packing, queries, secrets_scan, tokens
+from loomgraph.llm import packing, queries, secrets_scan
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -39,7 +39,7 @@ def test_pipeline(spark, documents):
     rows = sorted(last.values())
     keep = {c for _, _, c in components_of([(d[0], d[1]) for d in rows])}
     rows = [d for d in rows if d[0] in keep]
-    library = tokens.ChunkEncoder(queries.tokenizer("byte_bpe_50k.json"), "spaced").library
+    library = fresh("byte_bpe_50k.json")
     want, lengths = Counter(), Counter()
     for d in rows:
         ids = np.array([*library.encode(secrets_scan.redacted(d[1]), add_special_tokens=False).ids, 2], "<u4")
