@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICES = 16
-#: Bits of a membership filter; a place is a hash, so a filter may hold more than was put in, never less.
-FILTER_BITS = 1 << 23
+#: Bits of a membership filter for each key and in all; a place is a hash, so a filter may hold more than was put in, never less.
+#: Beyond some millions of keys a filter of the largest size (64 MB) lets more and more through, and the join behind it does the rest.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 17, 1 << 29
 
 
 def spread(counters: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -50,34 +51,43 @@ def total(rows: DataFrame, size: int, finish: Callable[[np.ndarray], np.ndarray]
     return out
 
 
-def place(keys: np.ndarray) -> np.ndarray:
-    """Where a filter holds 64-bit keys."""
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where a filter of so many bits, a power of two, holds 64-bit keys."""
     x = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(65 - FILTER_BITS.bit_length())).astype(np.int64)
+    return (x >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def holds(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a filter holds each key: true for all that were put in, false for most others."""
+    at = _place(np.ascontiguousarray(keys), 8 * len(filter_))
+    return (filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
 def members(keys: DataFrame) -> np.ndarray:
-    """A filter, as packed bits, of all values of a DataFrame's columns of longs."""
+    """A filter, as packed bits, of all values of a DataFrame's columns of longs; its size follows their number."""
+    asked = max(1, keys.count() * len(keys.columns) * KEY_BITS)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (asked - 1).bit_length()))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(FILTER_BITS, bool)
+        marks = np.zeros(bits // 8, np.uint8)
         for b in batches:
             for c in b.columns:
-                marks[place(c.to_numpy())] = True
-        rows = list(spread(np.packbits(marks)))
+                at = _place(c.to_numpy(), bits)
+                np.bitwise_or.at(marks, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        rows = list(spread(marks))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "packed"])
 
     def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, np.ndarray] = {}
         for b in batches:
             for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(packed), "<u4")
+                part = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.uint8)
                 got[k] = got[k] | part if k in got else part
         for k, part in got.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.uint8).tobytes()], pa.binary())], ["slice", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "packed"])
 
     schema = "slice int, packed binary"
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     width = len(out) // SLICES
     for r in keys.mapInArrow(marked, schema).repartition(SLICES, "slice").mapInArrow(either, schema).collect():
         out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.packed, np.uint8)
@@ -93,8 +103,7 @@ def among(keys: DataFrame) -> Callable[[Column], Column]:
 
     @F.arrow_udf(T.BooleanType())
     def there(values: pa.Array) -> pa.Array:
-        bits = np.unpackbits(marks.value).view(bool)
-        known = bits[place(values.fill_null(0).to_numpy(zero_copy_only=False))]
+        known = holds(marks.value, values.fill_null(0).to_numpy(zero_copy_only=False))
         return pa.array(known | values.is_null().to_numpy(zero_copy_only=False))
 
     return there

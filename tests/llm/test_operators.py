@@ -366,6 +366,49 @@ def test_ngram_chains_of_links(spark):
     assert ngram_join.similar_components(frame(spark, [])).count() == 0
 
 
+def test_word_hashes_of_any_length(monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", " ", "A b", "a\x0bb\tB", *("".join(rng.choice("aAbé \n\x1c\0") for _ in range(rng.randint(0, 60))) for _ in range(300)), "x" * 5000 + " " + "x" * 5000, "ab " * 3000]
+    big, counts = ngram_join.word_hashes(texts)
+    words = [w for t in texts for w in normal(t).split()]
+    assert counts.tolist() == [len(normal(t).split()) for t in texts] and len(big) == len(words)
+    assert len(set(big.tolist())) == len(set(words)) == len(set(zip(big.tolist(), words)))
+    monkeypatch.setattr(ngram_join, "SEGMENT", 37)
+    ngram_join._powers.clear()
+    small, again = ngram_join.word_hashes(texts)
+    ngram_join._powers.clear()
+    assert small.tolist() == big.tolist() and again.tolist() == counts.tolist()
+
+
+def test_template_makes_no_pairs(spark):
+    """Texts of 100 shared and 20 own words link with none; their pairs must not grow with the square of their number."""
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(100)]
+    rows = [(i, " ".join([*template, *(f"w{rng.randrange(10**9)}" for _ in range(20))])) for i in range(400)]
+    texts = ngram_join._texts(frame(spark, rows), "doc_id", "text")
+    bounds = ngram_join.Bounds(75, 100)
+    _, orders = ngram_join._survey(texts, 5)
+    order = spark.sparkContext.broadcast(orders)
+    postings = ngram_join._postings(texts, 5, order, bounds, 4)
+    labels = spark.createDataFrame([], "node long, component long")
+    packed = ngram_join._between(postings, labels, bounds).collect()
+    assert sum(len(np.frombuffer(r.packed, ngram_join.PAIR)) for r in packed) < 400
+    assert Counter(r.component_id for r in ngram_join.similar_components(frame(spark, rows)).collect()) == Counter(range(400))
+
+
+def test_similar_rows_that_repeat_ids(spark):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, near(a)), (1, a), (5, a), (7, b), (7, c), (8, near(b)), (None, near(c)), (None, ""), (None, ""), (9, None), (None, "odd one out"), (None, "odd one out"), (None, prose(rng, 30))]
+    kept = ngram_join.drop_similar(frame(spark, rows).repartition(3)).collect()
+    assert kept[0].__fields__ == frame(spark, []).columns
+    got = Counter((r.doc_id, r.text) for r in kept)
+    assert got[7, b] == got[7, c] == 1 and sum(n for (i, _), n in got.items() if i == 1) == 1
+    assert got[None, "odd one out"] == 1 and got[None, ""] == 2 and got[9, None] == 1 and got[None, rows[-1][1]] == 1
+    assert sum(got.values()) == 8
+
+
 def test_bounds_are_safe():
     b = ngram_join.Bounds(75, 100)
     rng = random.Random(1)
@@ -375,9 +418,16 @@ def test_bounds_are_safe():
         y = set(rng.sample(sorted(x), rng.randint(int(n * 0.7), n))) | {1000 + i for i in range(rng.randint(0, n // 3))}
         if y and 100 * len(x & y) >= 75 * len(x | y):
             order = {t: rng.random() for t in x | y}
-            px, py = (set(sorted(s, key=order.get)[: int(b.prefix(len(s)))]) for s in (x, y))
-            assert len(px & py) >= int(b.least_shared(len(x), len(y)))
-            assert bool(b.sizes(len(x), len(y)))
+            o, least = map(int, b.least_shared(len(x), len(y)))
+            assert len(x & y) >= o and least >= 1
+            px, py = (sorted(s, key=order.get) for s in (x, y))
+            early = [t for t in px[: len(x) - o + least] if t in py[: len(y) - o + least]]
+            assert len(early) >= least
+            for t in early:  # kept in the prefixes, within reach of each other and fit
+                i, j = px.index(t), py.index(t)
+                assert i < b.prefix(len(x)) and j < b.prefix(len(y)) and b.fit(len(x), len(y), i, j)
+                small, at, large = (len(x), i, len(y)) if len(x) <= len(y) else (len(y), j, len(x))
+                assert b.reach(small, at) >= large
 
 
 # --- language -------------------------------------------------------------------------------------------------------
@@ -574,10 +624,10 @@ def test_one_operator_holds_a_worker():
 
     worker.claim("words")
     ngram_join.word_hashes(["a b c"])
-    assert ngram_join._words
+    assert ngram_join._powers
     own = tokens.encoder(queries.tokenizer("word_bpe_49k.json"), "words")
     own.encode(["a b c"])
-    assert not ngram_join._words and tokens._encoders
+    assert not ngram_join._powers and tokens._encoders
     ngram_join.word_hashes(["a"])
     assert not tokens._encoders
 

@@ -54,5 +54,5 @@ def test_pipeline(spark, documents):
 def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SMALL).columns == docs.columns
+        assert stage(spark, docs, SMALL).columns == docs.columns  # names, order
         assert stage(spark, docs.limit(0), SMALL).count() == 0
