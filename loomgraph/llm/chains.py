@@ -14,13 +14,15 @@
    asked for is cut at its largest gap and its parts are judged.
 5. The rest. Passages that overlap in a document or are matched are one component. Then every place of a seed is matched
    with every other one, but for two places within the same component. A seed that many documents have is matched
-   where a second seed within ``REACH`` words is shared too, as a chain of one seed is below the floor.
+   where a second seed within ``REACH`` words is shared too, as a chain of one seed is below the floor. A sentence shorter
+   than a passage that g documents share, with more of its seeds than the floor, still makes pairs of all of them here.
 
-   Places of a seed that documents repeat more than ``MOST_REPEATS`` times on average are matched in order from both ends
+   Repetitions of one to ``PERIOD`` words in turn have seeds by their place in the repetition, so that two of them are
+   matched once along their length. Places of another seed that documents repeat more than ``MOST_REPEATS`` times on average are matched in order from both ends
    only, so of such repetitions some middle copies may go unmatched.
 
-One row is returned for each passage of a document and the document that it was matched with. Every document that
-shares a passage is in some row, not every pair of a group is.
+One row is returned for each passage of a document and the document that it was matched with. A document that shares a
+passage is in some row, not every pair of a group is.
 
 Results for odd input: null and empty texts share nothing; null ids take no part; rows that repeat an id count as one
 document and are not compared with each other; an empty table gives an empty result; columns other than
@@ -32,6 +34,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +49,11 @@ from loomgraph.plans.components import components
 K = 6
 WINDOW = 10
 #: Cost of each word that a chain skips in either document.
-GAP = 0.5
-#: Words on either side of a chain that its alignment may extend to.
-AROUND = 24
-#: Gaps with more words than this on a side count as different throughout.
-LONG_GAP = 200
+GAP = 0.25
+#: Words on either side of a chain that its alignment may extend to, at first and for what the first pass left.
+AROUND, FAR_AROUND = 24, 64
+#: Longest period of a text that repeats itself.
+PERIOD = 3
 FLUSH = 1 << 21
 #: Seeds whose counter is beyond this, and beyond four times the mean, are matched together with a second seed.
 MOST_ALONE = 64
@@ -61,7 +64,7 @@ COUNTERS = 1 << 20
 MOST_REPEATS = 4
 #: Matches made at a time.
 MOST_PAIRS = 1 << 20
-SEED = np.dtype([("token", "<u4"), ("doc", "<i8"), ("at", "<u4")])
+SEED = np.dtype([("token", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 PLACE = np.dtype([("token", "<u8"), ("at", "<u4")])
 LABELLED = np.dtype([("token", "<u8"), ("doc", "<i8"), ("label", "<i8"), ("at", "<u4")])
 MATCH = np.dtype([("doc", "<i8"), ("other", "<i8"), ("x", "<i4"), ("y", "<i4")])
@@ -81,9 +84,17 @@ def seeds(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     text = np.repeat(np.arange(len(counts)), counts)
     begins = np.cumsum(counts) - counts
     within = text[:n] == text[K - 1 :]  # k-mers that do not cross from one text into the next
+    # Where a text repeats one word, or two or three in turn, every K-th k-mer is a seed of its place in the repetition.
+    again = np.zeros(n, bool)
+    for p in range(1, PERIOD + 1):
+        again[p:] |= (grams[p:] == grams[:-p]) & (text[p:n] == text[: n - p])
+    again &= within
+    begin = np.maximum.accumulate(np.where(again & ~np.concatenate([[False], again[:-1]]), np.arange(n), 0))
+    step = np.where(again, np.arange(n) - begin, 0)
+    grams[again] = mix(grams[again] + mix(step[again].astype(np.uint64), 29), 30)
     # The least of each window by doubling: of 2, of 4, of 8, then two overlapping ones.
     low, span = grams.copy(), 1
-    low[~within] = np.iinfo(np.uint64).max
+    low[~within | again] = np.iinfo(np.uint64).max
     whole = low
     while 2 * span <= WINDOW:
         low = np.minimum(low[: len(low) - span], low[span:])
@@ -100,7 +111,7 @@ def seeds(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for t in short.tolist():  # texts shorter than a window have one
         own = grams[begins[t] : begins[t] + counts[t] - K + 1]
         chosen[begins[t] + int(np.argmin(own))] = True
-    at = np.flatnonzero(chosen & within)
+    at = np.flatnonzero((chosen & ~again | again & (step % K == 0)) & within)
     return text[at], at - begins[text[at]], grams[at]
 
 
@@ -309,7 +320,7 @@ def chains_of(matches: np.ndarray, least: float) -> Iterator[tuple[int, int, lis
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence."""
-    if not len(a) or not len(b) or max(len(a), len(b)) > LONG_GAP:
+    if not len(a) or not len(b):
         return 0
     row = np.zeros(len(b) + 1, np.int32)
     for v in a:
@@ -360,14 +371,14 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             first, matches = matched(np.concatenate(waiting))
             waiting.clear()
             size = 0
-            yield _rows("seed", list(_dealt(first, first["token"] % blocks)))
+            yield _rows("seed", list(_dealt(first, (first["token"] % np.uint64(blocks)).astype(np.int64))))
             yield _rows("match", list(_by_pair(matches, blocks)))
 
         for b in _parts(batches):
             ids = b.column(0).to_numpy()
             text, at, grams = seeds(*word_hashes(b.column(1).to_pylist()))
             rows = np.empty(len(text), SEED)
-            rows["token"], rows["doc"], rows["at"] = grams >> np.uint64(32), ids[text], at
+            rows["token"], rows["doc"], rows["at"] = grams, ids[text], at
             waiting.append(rows)
             size += len(rows)
             if size >= FLUSH:
@@ -387,24 +398,27 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     sown, sown_path = scratch.table(texts.mapInArrow(sow, packed), "seeds")
     met = sown.filter("kind = 'seed'").repartitionById(blocks, F.col("block")).mapInArrow(meet, packed)
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for block, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                by.setdefault(block, []).append(_unpacked(raw, MATCH))
-        for parts in by.values():
-            found = [(d, o, c[0][0], max(f[0] + f[2] for f in c), c[0][1], max(f[1] + f[2] for f in c), np.array(c, "<i4").tobytes()) for d, o, c in chains_of(np.unique(np.concatenate(parts)), least)]
-            for i in range(0, len(found), 5000):
-                columns = list(zip(*found[i : i + 5000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()))], ["doc_id", "other_id", "x0", "x1", "y0", "y1", "parts"])
+    def link(floor: float):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by: dict[int, list[bytes]] = {}
+            for b in batches:
+                for block, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    by.setdefault(block, []).append(raw)
+            for block in sorted(by):
+                matches = np.unique(np.concatenate([_unpacked(raw, MATCH) for raw in by.pop(block)]))
+                chains = chains_of(matches, floor)
+                while found := [(d, o, c[0][0], max(f[0] + f[2] for f in c), c[0][1], max(f[1] + f[2] for f in c), np.array(c, "<i4").tobytes()) for d, o, c in islice(chains, 5000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()))], ["doc_id", "other_id", "x0", "x1", "y0", "y1", "parts"])
+
+        return of
 
     matches = sown.filter("kind = 'match'").unionByName(met)
-    found = scratch.save(matches.repartitionById(blocks, F.col("block")).mapInArrow(link, CHAIN), "chains")
+    found = scratch.save(matches.repartitionById(blocks, F.col("block")).mapInArrow(link(least), CHAIN), "chains")
     scratch.drop(spark, sown_path)
 
     linked = scratch.save(_judged(texts, found, least_words, least_similarity), "passages")
-    rest = _unlinked(texts, linked, blocks, int(least) - K).repartitionById(blocks, F.col("block")).mapInArrow(link, CHAIN)
-    more = _judged(texts, scratch.save(rest, "chains"), least_words, least_similarity)
+    rest = _unlinked(texts, linked, blocks, int(least) - K).repartitionById(blocks, F.col("block")).mapInArrow(link(least), CHAIN)
+    more = _judged(texts, scratch.save(rest, "chains"), least_words, least_similarity, FAR_AROUND)
     return linked.unionByName(more).distinct()
 
 
@@ -489,15 +503,14 @@ def _unlinked(texts: DataFrame, linked: DataFrame, blocks: int, apart: int) -> D
     return placed.mapInArrow(deal, packed).repartitionById(blocks, F.col("block")).mapInArrow(meet, packed)
 
 
-def _judged(texts: DataFrame, found: DataFrame, least_words: int, least_similarity: float) -> DataFrame:
+def _judged(texts: DataFrame, found: DataFrame, least_words: int, least_similarity: float, around: int = AROUND) -> DataFrame:
     """The passages of chains."""
     spark = texts.sparkSession
     marks = spark.sparkContext.broadcast(sliced.members(found.select(F.explode(F.array("doc_id", "other_id")).alias("id")).distinct()))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(marks.value).view(bool)
         for b in _parts(batches):
-            b = b.filter(pa.array(bits[sliced.place(b.column(0).to_numpy())]))
+            b = b.filter(pa.array(sliced.holds(marks.value, b.column(0).to_numpy())))
             hashes, counts = word_hashes(b.column(1).to_pylist())
             words = (hashes >> np.uint64(32)).astype("<u4")
             ends = np.cumsum(counts)
@@ -505,8 +518,8 @@ def _judged(texts: DataFrame, found: DataFrame, least_words: int, least_similari
 
     words = texts.mapInArrow(fetch, "id long, words binary")
     cut = lambda low, high: F.substring("words", 4 * F.col(low) + 1, 4 * (F.col(high) - F.col(low)))
-    edge = lambda c: F.greatest(F.col(c) - AROUND, F.lit(0))
-    own = found.withColumns({"xa": edge("x0"), "xe": F.col("x1") + AROUND, "ya": edge("y0"), "ye": F.col("y1") + AROUND})
+    edge = lambda c: F.greatest(F.col(c) - around, F.lit(0))
+    own = found.withColumns({"xa": edge("x0"), "xe": F.col("x1") + around, "ya": edge("y0"), "ye": F.col("y1") + around})
     with_x = own.join(words.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("x", cut("xa", "xe")).drop("words", "x0", "x1", "y0", "y1")
     with_y = with_x.join(words.withColumnRenamed("id", "other_id"), "other_id").withColumn("y", cut("ya", "ye")).select("doc_id", "other_id", "xa", "ya", "parts", "x", "y")
 
