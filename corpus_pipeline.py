@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, langid, ngram_join, packing, queries, secrets_scan
+from loomgraph.llm import exact_dedup, langid, ngram_join, packing, queries, secrets_scan, worker
 from loomgraph.plans import scratch
 
 
@@ -67,6 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's intermediate tables, and the result that it read, are deleted when its own result is written.
     """
+    worker.small_batches(spark)
     docs, read_from = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs, path = scratch.settled(spark, partial(stage, spark, docs, sf_dir), name)

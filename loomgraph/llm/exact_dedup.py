@@ -57,7 +57,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
             at += len(texts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, row long, digest binary, check long, bytes long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(of, "doc_id long, row long, digest binary, check long, bytes long")
 
 
 def _merge(records: np.ndarray, keep: str) -> np.ndarray:
@@ -108,14 +108,18 @@ def merge_runs(rows: DataFrame, slots: int, fan_in: int = 8, keep: str = "max")
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(runs, pa.binary())], ["slot", "run"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.empty(0, RECORD)
+        own, waiting, size = np.empty(0, RECORD), [], 0
         for b in batches:
             new = np.empty(b.num_rows, RECORD)
             new["digest"] = np.array(b.column(2).to_pylist(), "S32")
             new["check"] = b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
             new["bytes"], new["row"], new["count"] = b.column(4).to_numpy(), b.column(1).to_numpy(), 1
             new["id"] = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            own = _merge(np.concatenate([own, new]), keep)
+            waiting.append(new)
+            size += len(new)
+            if size > len(own):  # so a record is merged again only when the run has doubled
+                own, waiting, size = _merge(np.concatenate([own, *waiting]), keep), [], 0
+        own = _merge(np.concatenate([own, *waiting]), keep)
         yield from send(own, TaskContext.get().partitionId() % slots, 0)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, bpe, chains, exact_dedup, langid, ngram_join, packing, rans, secrets_scan, urlfilter
+from loomgraph.llm import ann, bpe, chains, exact_dedup, langid, ngram_join, packing, rans, secrets_scan, urlfilter, worker
 from loomgraph.plans import scratch
 
 #: Which rules every ``pages`` URL is judged by.
@@ -22,6 +22,7 @@ def tokenizer(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    worker.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,7 +10,10 @@ import gc
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch where the session has Spark's own setting; a batch of texts is held on both sides of the pipe.
+BATCH_ROWS = 2000
 _clear: dict[str, Callable[[], None]] = {}
 _owner = ""
 
@@ -29,3 +32,10 @@ def claim(owner: str) -> None:
                 clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default size of Arrow batches; another size that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
