@@ -272,13 +272,13 @@ def keep_languages(docs: DataFrame, langs: list[str] | None = None, least_score:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs.filter(~held_out(id_col)), lang_col, text_col, id_col))
 
-    @F.arrow_udf(T.StringType())
     def accepted(texts: pa.Array) -> pa.Array:
         found = [f for i in range(0, len(texts), 1000) for f in shared.value.predict(texts.slice(i, 1000).to_pylist())]
         return pa.array([lang if lang != "und" and score >= least_score and (langs is None or lang in langs) else None for lang, score in found], pa.string())
 
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = docs.select(whole.alias("row"), accepted(F.col(f"`{text_col}`").cast("string")).alias("lang_pred")).filter("lang_pred is not null")
+    judge = F.arrow_udf(accepted, T.StringType()).asNondeterministic()  # or the filter below would have it run twice
+    judged = docs.select(whole.alias("row"), judge(F.col(f"`{text_col}`").cast("string")).alias("lang_pred")).filter("lang_pred is not null")
     kind = docs.schema[lang_col].dataType
     out = [F.coalesce(F.col("row").getField(c), F.col("lang_pred").cast(kind)).alias(c) if c == lang_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     return judged.select(*out)

@@ -667,13 +667,13 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own_id = F.col(f"`{id_col}`").cast("long")
     maybe = sliced.among(decided.select("_i").filter("_i is not null"))(own_id)
 
-    @F.arrow_udf(T.LongType())
     def digests(values: pa.Array) -> pa.Array:
         return pa.array([d for i in range(0, len(values), 1000) for s in shingle_sets(values.slice(i, 1000).to_pylist(), words) for d in [digest(s)]], pa.int64())
 
+    digested = F.arrow_udf(digests, T.LongType()).asNondeterministic()  # once for each row, whatever is asked of it
     # Rows outside the filter stay without being dealt out.
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d")
-    own = docs.filter(maybe).select(whole, own_id.alias("_id"), digests(F.col(f"`{text_col}`").cast("string")).alias("_rep"))
+    own = docs.filter(maybe).select(whole, own_id.alias("_id"), digested(F.col(f"`{text_col}`").cast("string")).alias("_rep"))
     joined = own.join(decided, own["_id"].eqNullSafe(decided["_i"]) & (own["_rep"] == decided["_r"]), "left")
     out = docs.filter(~maybe).unionByName(joined.filter("_keep is null").select("_d.*"))
     if decided.filter("_keep").limit(1).count():  # of rows that repeat what stays, one
