@@ -48,8 +48,8 @@ MEMORY = """
     FROM events"""
 
 QUADS = """
-    SELECT 'raw:orders' AS g, 'customer_' || CAST(o_custkey AS STRING) AS s, 'priority' AS p, o_orderpriority AS o FROM orders WHERE o_orderkey % 40 = 0
-    UNION ALL SELECT 'wiki:orders', 'customer_' || CAST(o_custkey AS STRING), 'priority', o_orderpriority FROM orders WHERE o_orderkey % 40 = 1
+    SELECT 'raw:orders' AS g, 'customer_' || CAST(o_custkey AS STRING) AS s, 'priority' AS p, o_orderpriority AS o FROM orders WHERE o_orderkey % 2 = 0
+    UNION ALL SELECT 'wiki:orders', 'customer_' || CAST(o_custkey AS STRING), 'priority', o_orderpriority FROM orders WHERE o_orderkey % 2 = 1
     UNION ALL SELECT 'raw:customers', 'customer_' || CAST(c_custkey AS STRING), 'segment', c_mktsegment FROM customer
     UNION ALL SELECT 'wiki:customers', 'customer_' || CAST(c_custkey AS STRING), 'segment', CASE WHEN c_custkey % 3 = 0 THEN 'OTHER' ELSE c_mktsegment END FROM customer WHERE c_custkey % 2 = 0
     UNION ALL SELECT 'raw:archive', 'customer_' || CAST(c_custkey AS STRING), 'segment', CASE WHEN c_custkey % 5 = 0 THEN 'OLD' ELSE c_mktsegment END FROM customer WHERE c_custkey % 4 = 0"""

@@ -127,8 +127,8 @@ def test_normal_ids(s):
 
 
 def test_string_metrics():
-    assert round(text.jaro("manager", "nanager"), 4) == 0.8492
-    assert round(text.jaro_winkler("manager", "managr"), 4) == 0.9714
+    assert round(text.jaro("lantern", "rantern"), 4) == 0.9048
+    assert round(text.jaro_winkler("lantern", "lantrn"), 4) == 0.9714
     assert text.damerau("ca", "abc") == 2 and text.damerau("ab", "ba") == 1
     assert text.jaro("", "a") == 0 and text.jaro("", "") == 1
 
@@ -136,7 +136,7 @@ def test_string_metrics():
 def test_non_ascii_goes_through_the_udf(spark):
     df = spark.createDataFrame([("Größe-Maß",), ("Plain Text",), (None,)], "s string")
     assert {r.s: r.o for r in text.with_id(df, "s", "o").collect()} == {"Größe-Maß": "grösse_mass", "Plain Text": "plain_text", None: None}
-    assert {r.o for r in text.with_fold(df, "s", "o").collect()} == {"Große-Maß", "Plain Text", ""} or True
+    assert {r.o for r in text.with_fold(df, "s", "o").collect()} == {"Große-Maß", "Plain Text", ""}
 
 
 def test_query_terms():
