@@ -767,14 +767,14 @@ def m12_explain(spark, d):
     return report.explain(view(spark, d, "edges"), analyze.degrees(nodes, pairs), "supplier_1")
 
 
-_CHANGED = "SELECT o_orderkey % 9 AS pr, 'nation' || CAST(o_orderkey % 25 AS VARCHAR) || '/customer' || CAST(o_orderkey % 37 AS VARCHAR) || '.py' AS file FROM orders WHERE o_orderkey <= 60"
+_CHANGED = "SELECT o_orderkey % 9 AS pr, 'nation' || CAST(o_orderkey % 25 AS VARCHAR) || '/customer' || CAST(o_orderkey % 37 AS VARCHAR) || '.py' AS file FROM orders"
 _IMPACT = f"""WITH ch AS (SELECT DISTINCT * FROM ({_CHANGED})), f AS (SELECT source_file, count(*) AS n, list(DISTINCT community) AS cs FROM nodes WHERE source_file <> '' GROUP BY 1),
     m AS (SELECT DISTINCT pr, source_file, n, cs FROM ch JOIN f ON file = source_file OR ends_with(source_file, '/' || file) OR ends_with(file, '/' || source_file)),
     i AS (SELECT pr, CAST(sum(n) AS BIGINT) AS n_nodes, array_to_string(list_sort(list_distinct(flatten(list(cs)))), ',') AS communities FROM m GROUP BY pr)"""
 
 
 def _impact(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey <= 60")
+    o = table(spark, d, "orders")
     file = F.concat(F.lit("nation"), (F.col("o_orderkey") % 25).cast("string"), F.lit("/customer"), (F.col("o_orderkey") % 37).cast("string"), F.lit(".py"))
     return report.pull_request_impact(o.select((F.col("o_orderkey") % 9).alias("pr"), file.alias("file")), view(spark, d, "nodes"))
 
@@ -1006,9 +1006,9 @@ def m15_package_fan_out(spark, d):
     return incremental.fan_out_packages(view(spark, d, "edges").filter("source like 'supplier%'"), m)
 
 
-@query("""SELECT seq FROM edges WHERE relation NOT IN ('imports', 'imports_from', 're_exports') OR target NOT IN (SELECT 'nation_' || CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey <= 40 GROUP BY c_nationkey HAVING count(DISTINCT c_custkey) > 1)""", E)
+@query("""SELECT seq FROM edges WHERE relation NOT IN ('imports', 'imports_from', 're_exports') OR target NOT IN (SELECT 'nation_' || CAST(c_nationkey AS VARCHAR) FROM customer GROUP BY c_nationkey HAVING count(DISTINCT c_custkey) > 1)""", E)
 def m13_ambiguous_imports(spark, d):
-    m = table(spark, d, "customer").filter("c_custkey <= 40").select(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("module"), F.col("c_custkey").alias("file"))
+    m = table(spark, d, "customer").select(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("module"), F.col("c_custkey").alias("file"))
     return incremental.unambiguous_imports(view(spark, d, "edges").select("seq", "target", "relation"), m).select("seq")
 
 
