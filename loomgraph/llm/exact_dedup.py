@@ -44,6 +44,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         worker.claim("digests")
         part, at = TaskContext.get().partitionId() << 36, 0
         for b in batches:
+            worker.trim()
             texts = [(t or b"").translate(LOWER) for t in b.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -110,6 +111,7 @@ def merge_runs(rows: DataFrame, slots: int, fan_in: int = 8, keep: str = "max")
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, waiting, size = np.empty(0, RECORD), [], 0
         for b in batches:
+            worker.trim()
             new = np.empty(b.num_rows, RECORD)
             new["digest"] = np.array(b.column(2).to_pylist(), "S32")
             new["check"] = b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)

@@ -162,6 +162,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
         worker.claim("langid")
+        worker.trim()
         _current[:] = [self]
         split = [words(t) for t in texts]
         k, n_langs = len(texts), len(self.langs)
@@ -198,6 +199,7 @@ def word_counts(labelled: DataFrame, lang_col: str = "lang", text_col: str = "te
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
         for b in batches:
+            worker.trim()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts.setdefault(lang, Counter()).update(words(text))
             if sum(map(len, counts.values())) > COUNTED:

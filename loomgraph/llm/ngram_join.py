@@ -215,6 +215,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, rows):
+            worker.trim()
             yield b.slice(i, rows)
 
 

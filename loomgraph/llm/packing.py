@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm import tokens
 from loomgraph.plans import scratch
 
+#: Units that a worker's encoder keeps in a generation; packing follows other stages in the same workers.
+MOST_UNITS = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -108,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, style: str, end_id: int, capacity: i
     end = np.array([end_id], "<u4").tobytes()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, ranks = tokens.encoder(tokenizer, style), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        own, part, ranks = tokens.encoder(tokenizer, style, MOST_UNITS), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for whole in batches:
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 rows = []

@@ -104,6 +104,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            worker.trim()
             rows = [find(t) for t in b.column(1).to_pylist()]
             base = [[s for s in r if s[0] in BASE] for r in rows]
             counts = [pa.array([sum(s[0] == k for s in r) for r in base], pa.int64()) for k in BASE]
@@ -135,6 +136,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            worker.trim()
             old = b.column(at).to_pylist()
             new = [redacted(t) for t in old]
             columns = list(b.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 
 from loomgraph.llm import worker
 
-#: Units in a generation of a cache.
+#: Units in a generation of a cache, unless the operator says otherwise.
 MOST_UNITS = 400_000
 #: Longer units are encoded but not kept.
 LONG_UNIT = 200
@@ -42,13 +42,14 @@ END, SPACE, NEWLINE, LETTER, DIGIT, OTHER = range(6)
 _CLASS = np.full(256, OTHER, np.uint8)
 _CLASS[0], _CLASS[32], _CLASS[10], _CLASS[48:58] = END, SPACE, NEWLINE, DIGIT
 _CLASS[65:91] = _CLASS[97:123] = _CLASS[192:] = LETTER
-_encoders: dict[tuple[str, str], TextEncoder] = {}
+_encoders: dict[tuple[str, str, int | None], TextEncoder] = {}
 
 
 class _Known(dict):
     """Ids by unit; a unit of the old generation becomes young again, one that is not known is noted and None."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.old: dict[str | bytes, bytes] = {}
         self.unknown: list[str | bytes] = []
 
@@ -61,7 +62,7 @@ class _Known(dict):
         return ids
 
     def keep(self, units: list[str | bytes], ids: list[bytes]) -> None:
-        if len(self) > MOST_UNITS:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
         self.update((u, i) for u, i in zip(units, ids) if len(u) <= LONG_UNIT)
@@ -103,7 +104,7 @@ class TextEncoder:
     They are little-endian unsigned integers of two bytes if the vocabulary allows it, else of four: ``dtype``.
     """
 
-    def __init__(self, path: str, style: str):
+    def __init__(self, path: str, style: str, most_units: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -115,7 +116,8 @@ class TextEncoder:
         self.special = re.compile("|".join(re.escape(t.content) for t in added), case) if added else None
         self.style = style
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces, self.chunks = _Known(), _Known()
+        most = MOST_UNITS if most_units is None else most_units
+        self.pieces, self.chunks = _Known(most), _Known(most)
 
     def _ids(self, library, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -180,6 +182,7 @@ class TextEncoder:
         return self.style == "words" or not _RUN.search(text)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        worker.trim()
         texts = [t or "" for t in texts]
         plain = [*map(self._is_plain, texts)]
         by_piece = iter(self._by_piece([t.lower() if self.style == "words" else t for t, p in zip(texts, plain) if p]))
@@ -187,12 +190,13 @@ class TextEncoder:
         return [next(by_piece if p else by_chunk) for p in plain]
 
 
-def encoder(path: str, style: str) -> TextEncoder:
+def encoder(path: str, style: str, most_units: int | None = None) -> TextEncoder:
     """This worker's encoder for a tokenizer file."""
     worker.claim("tokens")
-    if (path, style) not in _encoders:
-        _encoders[path, style] = TextEncoder(path, style)
-    return _encoders[path, style]
+    key = path, style, most_units
+    if key not in _encoders:
+        _encoders[key] = TextEncoder(*key)
+    return _encoders[key]
 
 
 worker.cache("tokens", _encoders.clear)
