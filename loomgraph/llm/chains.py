@@ -18,7 +18,12 @@
    than a passage that g documents share, with more of its seeds than the floor, still makes pairs of all of them here.
 
    Repetitions of one to ``PERIOD`` words in turn have seeds by their place in the repetition, so that two of them are
-   matched once along their length. Places of another seed that documents repeat more than ``MOST_REPEATS`` times on average are matched in order from both ends
+   matched once along their length. Here such a seed counts only with one in reach that is not of its own repetition, as
+   all documents with a repetition of the same words have it. What a repetition is alone is settled without them: a chain
+   of nothing else is a passage only where ``least_words`` words in a row are equal. Either they go beyond the repetition, then their
+   hash is a seed (``edges``); or both repetitions are as long, then all of the same words are one passage and are
+   matched with the longest of them (``longest``), one row for each.
+   Places of another seed that documents repeat more than ``MOST_REPEATS`` times on average are matched in order from both ends
    only, so of such repetitions some middle copies may go unmatched.
 
 One row is returned for each passage of a document and the document that it was matched with. A document that shares a
@@ -65,31 +70,49 @@ MOST_REPEATS = 4
 #: Matches made at a time.
 MOST_PAIRS = 1 << 20
 SEED = np.dtype([("token", "<u8"), ("doc", "<i8"), ("at", "<u4")])
-PLACE = np.dtype([("token", "<u8"), ("at", "<u4")])
+#: ``run``: 0, or one more than the place of the repetition that the seed is of.
+PLACE = np.dtype([("token", "<u8"), ("at", "<u4"), ("run", "<u4")])
+#: A repetition: the words that are repeated, and at which of them, in a fixed order, it begins.
+RUN = np.dtype([("token", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("words", "<u4"), ("period", "<u4"), ("turn", "<u4")])
+EDGE = np.dtype([("token", "<u8"), ("at", "<u4")])
 LABELLED = np.dtype([("token", "<u8"), ("doc", "<i8"), ("label", "<i8"), ("at", "<u4")])
 MATCH = np.dtype([("doc", "<i8"), ("other", "<i8"), ("x", "<i4"), ("y", "<i4")])
 CHAIN = "doc_id long, other_id long, x0 int, x1 int, y0 int, y1 int, parts binary"
 
 
-def seeds(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash) of the seeds of texts given as word hashes."""
+def _grams(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text of each word, the shortest period or 0) of every k-mer of texts given as word hashes."""
     n = len(hashes) - K + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     factors = mix(np.arange(1, K + 1, dtype=np.uint64), 17) | np.uint64(1)
     grams = np.zeros(n, np.uint64)
     for j in range(K):
         grams += hashes[j : j + n] * factors[j]
     grams = mix(grams, 18)
     text = np.repeat(np.arange(len(counts)), counts)
+    period = np.zeros(n, np.int64)
+    for p in range(PERIOD, 0, -1):
+        period[p:][(grams[p:] == grams[:-p]) & (text[p:n] == text[: n - p])] = p
+    period[text[:n] != text[K - 1 :]] = 0
+    return grams, text, period
+
+
+def seeds(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash, run) of the seeds of texts given as word hashes; ``run`` as in ``PLACE``."""
+    n = len(hashes) - K + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    grams, text, period = _grams(hashes, counts)
     begins = np.cumsum(counts) - counts
     within = text[:n] == text[K - 1 :]  # k-mers that do not cross from one text into the next
     # Where a text repeats one word, or two or three in turn, every K-th k-mer is a seed of its place in the repetition.
-    again = np.zeros(n, bool)
-    for p in range(1, PERIOD + 1):
-        again[p:] |= (grams[p:] == grams[:-p]) & (text[p:n] == text[: n - p])
-    again &= within
-    begin = np.maximum.accumulate(np.where(again & ~np.concatenate([[False], again[:-1]]), np.arange(n), 0))
+    again = period > 0
+    first = again & ~np.concatenate([[False], again[:-1]])
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    run = np.where(again, begin - begins[text[:n]] + 1, 0)
+    first = np.flatnonzero(first)
+    for j in range(1, PERIOD + 1):  # the repetition's own first k-mers, which repeat nothing yet
+        own = first[(period[first] >= j) & (run[first - j] == 0)]
+        run[own - j] = run[own]
     step = np.where(again, np.arange(n) - begin, 0)
     grams[again] = mix(grams[again] + mix(step[again].astype(np.uint64), 29), 30)
     # The least of each window by doubling: of 2, of 4, of 8, then two overlapping ones.
@@ -112,7 +135,88 @@ def seeds(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         own = grams[begins[t] : begins[t] + counts[t] - K + 1]
         chosen[begins[t] + int(np.argmin(own))] = True
     at = np.flatnonzero((chosen & ~again | again & (step % K == 0)) & within)
-    return text[at], at - begins[text[at]], grams[at]
+    return text[at], at - begins[text[at]], grams[at], run[at]
+
+
+def runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, repetition) of all repetitions of texts given as word hashes; places are those of all texts' words, ``doc`` is empty."""
+    n = len(hashes) - K + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, RUN)
+    grams, text, period = _grams(hashes, counts)
+    again = period > 0
+    first = np.flatnonzero(again & ~np.concatenate([[False], again[:-1]]))
+    last = np.flatnonzero(again & ~np.concatenate([again[1:], [False]]))
+    out = np.empty(len(first), RUN)
+    out["doc"], out["period"] = 0, period[first]
+    out["at"] = first - period[first]
+    out["words"] = last + K - out["at"].astype(np.int64)
+    turns = np.arange(PERIOD)
+    each = np.where(turns < period[first][:, None], grams[np.minimum(out["at"].astype(np.int64)[:, None] + turns, n - 1)], np.iinfo(np.uint64).max)
+    out["turn"], out["token"] = each.argmin(1), mix(each.min(1), 31)
+    return text[first], out
+
+
+def edges(hashes: np.ndarray, counts: np.ndarray, text: np.ndarray, found: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in all texts' words, hash) of as many words in a row as a passage has, with a part of a repetition and at least a word beyond.
+
+    Where more than a window's words beyond it are equal on one side, a common seed stands there, so no more are taken in.
+    Each has places of so many seeds that they make a fragment.
+    """
+    beyond = K + WINDOW - 1
+    ends = np.cumsum(counts)
+    owners, starts = [], []
+    for t, s, n in zip(text.tolist(), found["at"].tolist(), found["words"].tolist()):
+        if n + 2 * beyond < least_words:
+            continue
+        low, high = max(s - beyond, int(ends[t] - counts[t])), min(s + n + beyond, int(ends[t])) - least_words
+        own = np.arange(low, high + 1)
+        own = own[(own < s) & (own + least_words > s) | (own + least_words > s + n) & (own < s + n)]
+        own = own[(own >= s - beyond) & (own + least_words <= s + n + beyond)]
+        owners.append(np.full(len(own), t))
+        starts.append(own)
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    both = np.unique(np.column_stack([np.concatenate(owners), np.concatenate(starts)]), axis=0)
+    owner, at = both[:, 0], both[:, 1]
+    factors = mix(np.arange(1, least_words + 1, dtype=np.uint64), 32) | np.uint64(1)
+    tokens = np.zeros(len(at), np.uint64)
+    for j in range(least_words):
+        tokens += hashes[at + j] * factors[j]
+    steps = np.arange(0, max(least_words - K, 0) + 1, WINDOW + K)
+    salted = mix(tokens[:, None] + mix(steps.astype(np.uint64), 33), 34)
+    return np.repeat(owner, len(steps)), (at[:, None] + steps).ravel(), salted.ravel()
+
+
+def longest(rows: np.ndarray) -> np.ndarray:
+    """Matches of each repetition with the longest one of the same words, and of those of its document with the longest of another."""
+    rows = rows[np.lexsort((rows["at"], rows["doc"], -rows["words"].astype(np.int64), rows["token"]))]
+    n = len(rows)
+    if not n:
+        return np.empty(0, MATCH)
+    new = np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    apart = rows["doc"] != rows["doc"][first]
+    other = np.full(n, n)
+    np.minimum.at(other, first[apart], np.flatnonzero(apart))  # the longest of another document
+    to = np.where(apart, first, other[first])
+    me = np.flatnonzero(to < n)
+    to = to[me]
+    x, y = rows[me], rows[to]
+    period = x["period"].astype(np.int64)
+    ahead = lambda a, b: (a["turn"].astype(np.int64) - b["turn"].astype(np.int64)) % period  # noqa: E731  words to skip in a
+    words = lambda a, b: np.minimum(a["words"].astype(np.int64), b["words"].astype(np.int64) - ahead(b, a))
+    of_x, of_y = words(x, y), words(y, x)
+    skip_x, skip_y = np.where(of_x >= of_y, 0, ahead(x, y)), np.where(of_x >= of_y, ahead(y, x), 0)
+    count = np.maximum(np.maximum(of_x, of_y) - K, 0) // (WINDOW + K) + 1
+    pair = np.repeat(np.arange(len(me)), count)
+    step = (np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)) * (WINDOW + K)
+    at_x, at_y = (x["at"] + skip_x)[pair] + step, (y["at"] + skip_y)[pair] + step
+    swap = x["doc"][pair] < y["doc"][pair]
+    out = np.empty(len(pair), MATCH)
+    for d, a, own, theirs, at, at_theirs in (("doc", "x", x, y, at_x, at_y), ("other", "y", y, x, at_y, at_x)):
+        out[d], out[a] = np.where(swap, theirs["doc"][pair], own["doc"][pair]), np.where(swap, at_theirs, at)
+    return np.unique(out)
 
 
 def matched(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,24 +237,32 @@ def matched(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], out
 
 
-def labelled(doc: np.ndarray, at: np.ndarray, token: np.ndarray, label: np.ndarray, often: np.ndarray, apart: int) -> np.ndarray:
-    """The places of whole documents to be matched, seeds that ``often`` marks once with each seed in reach.
+def labelled(doc: np.ndarray, at: np.ndarray, token: np.ndarray, run: np.ndarray, label: np.ndarray, often: np.ndarray, apart: int) -> np.ndarray:
+    """The places of whole documents to be matched, seeds that ``often`` marks or that are of a repetition once with each seed in reach.
 
-    Two such seeds that begin less than ``apart`` words from each other make no chain of the floor's length.
+    Two such seeds that begin less than ``apart`` words from each other make no chain of the floor's length. A repetition
+    stands for its first seed, and what is in reach of either of its ends is so of all its seeds.
     """
     by = np.lexsort((at, doc))
-    doc, at, token, label = doc[by], at[by].astype(np.int64), token[by], label[by]
-    hot = often[(token >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64)]
+    doc, at, token, run, label = doc[by], at[by].astype(np.int64), token[by], run[by].astype(np.int64), label[by]
+    hot = often[(token >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64)] | (run > 0)
     tokens, mine = [token[~hot]], [np.flatnonzero(~hot)]
+    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (run[1:] != run[:-1]) | (run[1:] == 0)])[: len(doc)])
+    size = np.diff(np.append(begin, len(doc)))
+    name = token[begin].copy()
+    own = np.flatnonzero((run > 0) & (at == run - 1))
+    name[np.searchsorted(begin, own, "right") - 1] = token[own]
+    low, high, of, warm = at[begin], at[begin + size - 1], doc[begin], hot[begin]
     for step in range(1, REACH + 1):
-        far = at[step:] - at[:-step]
-        near = np.flatnonzero((doc[step:] == doc[:-step]) & (far <= REACH))
+        near = np.flatnonzero((of[step:] == of[:-step]) & (low[step:] - high[:-step] <= REACH))
         if not len(near):
             break
-        near = near[~hot[near] | ~hot[near + step] | (far[near] >= apart)]
-        for own, other in ((near, near + step), (near + step, near)):
-            own, other = own[hot[own]], other[hot[own]]
-            tokens.append(mix(token[own] + mix(token[other], 23), 24))
+        near = near[~warm[near] | ~warm[near + step] | (high[near + step] - low[near] >= apart)]
+        for unit, other in ((near, near + step), (near + step, near)):
+            unit, other = unit[warm[unit]], other[warm[unit]]
+            k = size[unit]
+            own = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[unit], k)
+            tokens.append(mix(token[own] + mix(np.repeat(name[other], k), 23), 24))
             mine.append(own)
     mine = np.concatenate(mine)
     out = np.empty(len(mine), LABELLED)
@@ -376,7 +488,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
         for b in _parts(batches):
             ids = b.column(0).to_numpy()
-            text, at, grams = seeds(*word_hashes(b.column(1).to_pylist()))
+            text, at, grams, _ = seeds(*word_hashes(b.column(1).to_pylist()))
             rows = np.empty(len(text), SEED)
             rows["token"], rows["doc"], rows["at"] = grams, ids[text], at
             waiting.append(rows)
@@ -417,7 +529,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     scratch.drop(spark, sown_path)
 
     linked = scratch.save(_judged(texts, found, least_words, least_similarity), "passages")
-    rest = _unlinked(texts, linked, blocks, int(least) - K).repartitionById(blocks, F.col("block")).mapInArrow(link(least), CHAIN)
+    rest = _unlinked(texts, linked, blocks, int(least) - K, least_words).repartitionById(blocks, F.col("block")).mapInArrow(link(least), CHAIN)
     more = _judged(texts, scratch.save(rest, "chains"), least_words, least_similarity, FAR_AROUND)
     return linked.unionByName(more).distinct()
 
@@ -438,65 +550,88 @@ def _covered(linked: DataFrame) -> DataFrame:
     return placed.groupBy("doc_id").agg(F.collect_list("range").alias("covered"))
 
 
-def _unlinked(texts: DataFrame, linked: DataFrame, blocks: int, apart: int) -> DataFrame:
-    """Packed matches of all places of each seed that are not within passages of one component."""
+def _unlinked(texts: DataFrame, linked: DataFrame, blocks: int, apart: int, least_words: int) -> DataFrame:
+    """Packed matches of all places of each seed that are not within passages of one component, and of repetitions with the longest."""
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
         for b in _parts(batches):
-            text, at, grams = seeds(*word_hashes(b.column(1).to_pylist()))
+            hashes, lengths = word_hashes(b.column(1).to_pylist())
+            text, at, grams, run = seeds(hashes, lengths)
             by = np.lexsort((text, grams))
             once = by[np.concatenate([[True], (grams[by][1:] != grams[by][:-1]) | (text[by][1:] != text[by][:-1])])] if len(by) else by
             counters += np.bincount((grams[once] >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64), minlength=COUNTERS)
             rows = np.empty(len(text), PLACE)
-            rows["token"], rows["at"] = grams, at
-            each = np.split(rows, np.searchsorted(text, np.arange(1, b.num_rows)))
-            k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.tobytes() for e in each], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "places", "slice", "packed"])
+            rows["token"], rows["at"], rows["run"] = grams, at, run
+            begins, k = np.cumsum(lengths) - lengths, b.num_rows
+            of, repeated = runs(hashes, lengths)
+            edge_of, edge_at, edge_token = edges(hashes, lengths, of, repeated, least_words)
+            edge = np.empty(len(edge_of), EDGE)
+            edge["token"], edge["at"] = edge_token, edge_at - begins[edge_of]
+            own = repeated["words"] >= least_words
+            of, repeated = of[own], repeated[own]
+            repeated["at"] -= begins[of].astype(np.uint32)
+            parts = [[p.tobytes() for p in np.split(part, np.searchsorted(at_text, np.arange(1, k)))] for part, at_text in ((rows, text), (edge, edge_of), (repeated, of))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p, pa.binary()) for p in parts), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         for k, packed in sliced.spread(counters):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["doc_id", "places", "slice", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.binary())] * 3, pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names)
 
-    sown = scratch.save(texts.mapInArrow(sow, "doc_id long, places binary, slice int, packed binary"), "places")
+    names = ["doc_id", "places", "edges", "runs", "slice", "packed"]
+    sown = scratch.save(texts.mapInArrow(sow, "doc_id long, places binary, edges binary, runs binary, slice int, packed binary"), "places")
     mean = (sown.agg(F.sum(F.length("places"))).first()[0] or 0) / PLACE.itemsize / COUNTERS
     often = texts.sparkSession.sparkContext.broadcast(sliced.total(sown.filter("slice is not null").select("slice", "packed"), COUNTERS, lambda s: s > MOST_ALONE + 4 * mean))
-    placed = sown.filter("slice is null and length(places) > 0").select("doc_id", "places").join(_covered(linked), "doc_id", "left")
+    placed = sown.filter("slice is null and length(places) > 0").select("doc_id", "places", "edges", "runs").join(_covered(linked), "doc_id", "left")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = often.value.astype(bool)
         waiting, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal size
-            rows = np.concatenate(waiting)
-            waiting.clear()
-            size = 0
+        def sent(kind: str, parts: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.concatenate(parts)
             rows = rows[np.argsort(rows["token"])]
-            return _rows("seed", list(_dealt(rows, (rows["token"] % np.uint64(blocks)).astype(np.int64))))
+            return _rows(kind, list(_dealt(rows, (rows["token"] % np.uint64(blocks)).astype(np.int64))))
 
-        for b in _parts(batches):
-            each = [np.frombuffer(p, PLACE) for p in b.column(1).to_pylist()]
+        def of_kind(column: pa.Array, kind: np.dtype, ids: np.ndarray, covers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(document, row, component) of the packed rows of a kind."""
+            each = [np.frombuffer(p, kind) for p in column.to_pylist()]
             counts = np.array([len(p) for p in each])
-            places, begins = np.concatenate(each), np.cumsum(counts) - counts
-            label = np.zeros(len(places), np.int64)
-            for k, covered in enumerate(b.column(2).to_pylist()):
+            rows, begins = np.concatenate(each), np.cumsum(counts) - counts
+            label = np.zeros(len(rows), np.int64)
+            for k, covered in enumerate(covers):
                 own = slice(begins[k], begins[k] + counts[k])
-                at = places["at"][own].astype(np.int64)
+                at = rows["at"][own].astype(np.int64)
                 for c in covered or ():
                     label[own][(at + K > c["low"]) & (at < c["high"])] = c["component"]
-            waiting.append(labelled(np.repeat(b.column(0).to_numpy(), counts), places["at"], places["token"], label, hot, apart))
-            size += len(waiting[-1])
+            return np.repeat(ids, counts), rows, label
+
+        for b in _parts(batches):
+            ids, covers = b.column(0).to_numpy(), b.column(4).to_pylist()
+            doc, places, label = of_kind(b.column(1), PLACE, ids, covers)
+            waiting.append(labelled(doc, places["at"], places["token"], places["run"], label, hot, apart))
+            doc, places, label = of_kind(b.column(2), EDGE, ids, covers)
+            own = np.empty(len(places), LABELLED)
+            own["token"], own["doc"], own["label"], own["at"] = places["token"], doc, label, places["at"]
+            waiting.append(own)
+            doc, repeated, _ = of_kind(b.column(3), RUN, ids, [None] * len(ids))
+            if len(repeated):
+                repeated = repeated.copy()
+                repeated["doc"] = doc
+                yield sent("run", [repeated])
+            size += len(waiting[-1]) + len(waiting[-2])
             if size >= FLUSH // 2:
-                yield flush()
+                yield sent("seed", waiting)
+                waiting, size = [], 0
         if size:
-            yield flush()
+            yield sent("seed", waiting)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[np.ndarray]] = {}
+        by: dict[tuple[str, int], list[np.ndarray]] = {}
         for b in batches:
-            for block, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                by.setdefault(block, []).append(_unpacked(packed, LABELLED))
-        for parts in by.values():
-            for matches in all_matched(aligned(np.concatenate(parts))):
+            for kind, block, packed in zip(*(c.to_pylist() for c in b.columns)):
+                by.setdefault((kind, block), []).append(_unpacked(packed, RUN if kind == "run" else LABELLED))
+        for (kind, _), parts in by.items():
+            rows = np.concatenate(parts)
+            for matches in [longest(rows)] if kind == "run" else all_matched(aligned(rows)):
                 yield _rows("match", list(_by_pair(matches, blocks)))
 
     packed = "kind string, block int, packed binary"
