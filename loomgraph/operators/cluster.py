@@ -2,8 +2,9 @@
 
 Communities: synchronous label moves on the DataFrame. Each round every node weighs the communities of its neighbours by
 the modularity that joining them would gain and moves to the best; half of the nodes (by a hash of id and round) move in a
-round, which keeps neighbours from swapping for ever. A round is two equi-joins and two aggregations; totals for a
-community are aggregated, so a hub or a huge community is never collected.
+round, which keeps neighbours from swapping for ever. Ids become numbers once; the edges are kept as lists of bounded length
+below their one end. A round joins these lists with the communities' sizes, deals what the moving half is told out by
+node, and adds it up there; totals for a community are aggregated, so a hub or a huge community is never collected.
 
 Betweenness: Brandes' accumulation from sampled sources, each source one task's traversal of a broadcast adjacency whose size
 is checked first.
@@ -13,10 +14,12 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.traverse import symmetric
@@ -24,30 +27,74 @@ from loomgraph.plans import scratch
 
 #: An adjacency up to this many pairs is broadcast for centralities (16 bytes a direction).
 MOST_PAIRS = 5_000_000
+#: Rounds that a node's key tells it to move in or not.
+BITS = 24
+
+
+def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its place in ``order`` from 0, by the places in sorted parts and the parts' row counts."""
+    rows = scratch.save(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), name)
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each part
+    before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_n", "_before")
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(id, key): numbers in the order of the ids' hashes; bit r of a key says whether the node moves in round r."""
+    ids = _numbered(nodes.select("id").filter("id is not null").distinct(), [F.xxhash64("id"), F.col("id")], "place")
+    bits = [F.when(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0, F.lit(1 << r)).otherwise(F.lit(0)) for r in range(BITS)]
+    return ids.select("id", F.shiftleft("place", BITS).bitwiseOR(reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long")).alias("key"))
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (dst, src) sorted by dst to rows (dst, srcs); a node's list ends with the batch."""
+    for b in batches:
+        dst = b.column("dst").to_numpy()
+        starts = np.flatnonzero(np.append(True, dst[1:] != dst[:-1])) if len(dst) else np.empty(0, "int64")
+        offsets = pa.array(np.append(starts, len(dst)).astype("int32"))
+        yield pa.RecordBatch.from_arrays([pa.array(dst[starts]), pa.ListArray.from_arrays(offsets, b.column("src"))], names=["dst", "srcs"])
+
+
+def _neighbours(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(dst, srcs): the neighbours of each node by key, in one or more rows."""
+    ends = pairs.filter("lo <> hi").select("lo", "hi")
+    for end in ("lo", "hi"):
+        ends = ends.join(keys.select(F.col("id").alias(end), F.col("key").alias(f"{end}_key")).hint("shuffle_hash"), end).drop(end)
+    both = ends.select(F.inline(F.array(F.struct(F.col("lo_key").alias("dst"), F.col("hi_key").alias("src")), F.struct(F.col("hi_key").alias("dst"), F.col("lo_key").alias("src")))))
+    return both.repartition("dst").distinct().sortWithinPartitions("dst").mapInArrow(_lists, "dst long, srcs array<long>")
 
 
 def communities(nodes: DataFrame, pairs: DataFrame, rounds: int = 12, resolution: float = 1.0) -> DataFrame:
-    """(id, cid): communities numbered by descending size, then least member; isolated nodes have their own."""
-    adj = scratch.save(symmetric(pairs.filter("lo <> hi")), "adjacency")
-    degree = scratch.save(adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k")), "degree")
-    total = adj.count()
-    state = degree.select("id", "k", F.col("id").alias("c"))
+    """(id, cid): communities numbered by descending size, then least member; isolated nodes have their own.
+
+    ``pairs`` (lo, hi) may have an edge more than once and either way; those with an end that is no node are left out.
+    After ``BITS`` rounds the halves that move come again.
+    """
+    spark = nodes.sparkSession
+    keys = scratch.save(_keys(nodes), "keys")
+    adj = scratch.save(_neighbours(pairs, keys), "adjacency")
+    degree = adj.groupBy(F.col("dst").alias("key")).agg(F.sum(F.size("srcs")).alias("k"))
+    state, path = scratch.table(degree.select("key", "k", F.col("key").alias("c")), "state")
+    total = state.agg(F.sum("k")).first()[0]
     for r in range(rounds if total else 0):
-        state = scratch.save(state, "state")
-        volume = state.groupBy("c").agg(F.sum("k").alias("v"))
-        links = adj.join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.count("*").alias("w"))
-        own = state.select("id", "k", F.col("c").alias("now"))
-        here = own.select("id", F.col("now").alias("c")).withColumn("w", F.lit(0).cast("long"))
-        offers = links.unionByName(here).groupBy("id", "c").agg(F.sum("w").alias("w")).join(own, "id").join(volume, "c")
+        moves = F.col("key").bitwiseAND(F.lit(1 << r % BITS)) != 0
+        sized = state.join(state.groupBy("c").agg(F.sum("k").alias("v")), "c")
+        told = adj.join(sized.select(F.col("key").alias("dst"), "c", "v"), "dst").select(F.explode("srcs").alias("key"), "c", "v").filter(moves)
+        links = told.repartition("key").groupBy("key", "c", "v").agg(F.count("*").alias("w"))
+        share = F.lit(resolution) * F.col("k")
+        stay = F.lit(0).cast("long") - share * (F.col("v") - F.col("k")) / total  # without a link into the own community
+        own = sized.filter(moves).select("key", "k", F.col("c").alias("now"), stay.alias("stay"))
         rest = F.col("v") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0)
-        gain = F.col("w") - F.lit(resolution) * F.col("k") * rest / total
-        best = offers.groupBy("id", "k", "now").agg(F.max_by("c", F.struct(F.round(gain, 9), F.col("c") == F.col("now"), F.xxhash64("c"))).alias("best"))
-        moves = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        state = best.select("id", "k", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("c"))
-    labelled = nodes.select("id").join(state.select("id", "c"), "id", "left").select("id", F.coalesce("c", "id").alias("c"))
+        offers = links.join(own.hint("shuffle_hash"), "key").withColumn("gain", F.col("w") - share * rest / total).filter("gain > stay - 1e-8")
+        best = offers.groupBy("key").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), (F.col("c") == F.col("now")).alias("same"), "c")).alias("best"), F.first("stay").alias("stay"))
+        moved = best.filter(F.col("best.gain") > F.round("stay", 9)).select("key", F.col("best.c").alias("to"))
+        following, new_path = scratch.table(state.join(moved, "key", "left").select("key", "k", F.coalesce("to", "c").alias("c")), "state")
+        scratch.drop(spark, path)
+        state, path = following, new_path
+    labelled = nodes.select("id").join(keys, "id").join(state.select("key", "c"), "key", "left").select("id", F.coalesce("c", "key").alias("c"))
     sizes = labelled.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    numbered = sizes.select("c", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("long").alias("cid"))
-    return labelled.join(numbered, "c").select("id", "cid")
+    numbered = _numbered(sizes, [F.desc("n"), F.col("first")], "cid")
+    return labelled.join(numbered.select("c", "cid"), "c").select("id", "cid")
 
 
 def modularity(assigned: DataFrame, pairs: DataFrame) -> float:

@@ -707,8 +707,8 @@ def d1_single_repository(spark, d):
 
 @query()
 def g11_communities(spark, d):
-    nodes, _, pairs = graph(spark, d)
-    return cluster.communities(nodes, pairs)
+    edges = view(spark, d, "edges")
+    return cluster.communities(view(spark, d, "nodes"), edges.select(F.col("source").alias("lo"), F.col("target").alias("hi")))
 
 
 def _supplier_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -139,6 +139,67 @@ def test_communities(spark):
     assert [sizes[c] for c in sorted(sizes)] == sorted(sizes.values(), reverse=True)
 
 
+def _moved(spark, ids, pairs, rounds=12):
+    """The rule of cluster.communities, node by node: the members of each community by size and least member."""
+    hashed = spark.createDataFrame([(x,) for x in ids], "id string").select("id", F.xxhash64("id").alias("h"), *[(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0).alias(f"r{r}") for r in range(rounds)])
+    rows = {r.id: r for r in hashed.collect()}
+    near = {x: set() for x in ids}
+    for a, b in pairs:
+        if a != b and a in near and b in near:
+            near[a].add(b)
+            near[b].add(a)
+    total, at = sum(map(len, near.values())), {x: x for x in ids}
+    for r in range(rounds):
+        volume = Counter()
+        for x in ids:
+            volume[at[x]] += len(near[x])
+        following = dict(at)
+        for x in (x for x in ids if near[x] and rows[x][f"r{r}"]):
+            links = Counter(at[y] for y in near[x]) + Counter()
+            gains = {c: round(links[c] - len(near[x]) * (volume[c] - (len(near[x]) if c == at[x] else 0)) / total, 9) for c in [*links, at[x]]}
+            following[x] = max(gains, key=lambda c: (gains[c], c == at[x], rows[c].h))
+        at = following
+    groups = {}
+    for x in ids:
+        groups.setdefault(at[x], []).append(x)
+    return [sorted(g) for g in sorted(groups.values(), key=lambda g: (-len(g), min(g)))]
+
+
+def test_communities_by_the_rule(spark):
+    rng = random.Random(7)
+    ids = [f"n{i}" for i in range(60)]
+    pairs = [(f"n{i}", f"n{j}") for i in range(56) for j in range(56) if i < j and rng.random() < (0.5 if i % 4 == j % 4 else 0.03)] + [("n0", f"n{i}") for i in range(1, 56)]
+    given = pairs + [(b, a) for a, b in pairs[::3]] + pairs[::5] + [("n1", "n1"), ("n2", "elsewhere"), ("n3", None)]
+    found = cluster.communities(spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(given, "lo string, hi string")).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.cid, []).append(r.id)
+    assert [sorted(got[c]) for c in sorted(got)] == _moved(spark, ids, pairs) and sorted(got) == list(range(len(got)))
+    alone = cluster.communities(spark.createDataFrame([("b",), ("a",)], "id string"), spark.createDataFrame([], "lo string, hi string"))
+    assert {(r.id, r.cid) for r in alone.collect()} == {("a", 0), ("b", 1)}
+
+
+def test_communities_deal_out_an_edge_once_a_round(spark):
+    rng = random.Random(3)
+    ids = spark.createDataFrame([(f"n{i}",) for i in range(300)], "id string")
+    pairs = spark.createDataFrame(sorted({tuple(sorted((f"n{i}", f"n{rng.randrange(300)}"))) for i in range(300) for _ in range(60)}), "lo string, hi string").filter("lo <> hi")
+    store, lists = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+    dealt = lambda: sum(s.shuffleWriteRecords() for s in _seq(store.stageList(lists, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), lists)))
+    before, threshold = dealt(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many nodes
+    try:
+        cluster.communities(ids, pairs, rounds=8).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    n = pairs.count()
+    assert dealt() - before < 8 * 2 * n
+
+
+def _seq(s):
+    return [s.apply(i) for i in range(s.size())]
+
+
 def test_betweenness_of_a_path(spark):
     ids = spark.createDataFrame([(x,) for x in "abcd"], "id string")
     got = {r.id: r.score for r in cluster.betweenness(ids, spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "lo string, hi string")).collect()}
