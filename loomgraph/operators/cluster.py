@@ -19,7 +19,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.traverse import symmetric
@@ -29,6 +29,8 @@ from loomgraph.plans import scratch
 MOST_PAIRS = 5_000_000
 #: Rounds that a node's key tells it to move in or not.
 BITS = 24
+#: Ends of edges that a task takes at most on average, whatever the session's number of partitions.
+ENDS_PER_TASK = 1_000_000
 
 
 def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -55,13 +57,17 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(dst[starts]), pa.ListArray.from_arrays(offsets, b.column("src"))], names=["dst", "srcs"])
 
 
+def _parts(spark: SparkSession, ends: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ends // ENDS_PER_TASK))
+
+
 def _neighbours(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """(dst, srcs): the neighbours of each node by key, in one or more rows."""
     ends = pairs.filter("lo <> hi").select("lo", "hi")
     for end in ("lo", "hi"):
         ends = ends.join(keys.select(F.col("id").alias(end), F.col("key").alias(f"{end}_key")).hint("shuffle_hash"), end).drop(end)
     both = ends.select(F.inline(F.array(F.struct(F.col("lo_key").alias("dst"), F.col("hi_key").alias("src")), F.struct(F.col("hi_key").alias("dst"), F.col("lo_key").alias("src")))))
-    return both.repartition("dst").distinct().sortWithinPartitions("dst").mapInArrow(_lists, "dst long, srcs array<long>")
+    return both.repartition(_parts(pairs.sparkSession, 2 * pairs.count()), "dst").distinct().sortWithinPartitions("dst").mapInArrow(_lists, "dst long, srcs array<long>")
 
 
 def communities(nodes: DataFrame, pairs: DataFrame, rounds: int = 12, resolution: float = 1.0) -> DataFrame:
@@ -75,12 +81,13 @@ def communities(nodes: DataFrame, pairs: DataFrame, rounds: int = 12, resolution
     adj = scratch.save(_neighbours(pairs, keys), "adjacency")
     degree = adj.groupBy(F.col("dst").alias("key")).agg(F.sum(F.size("srcs")).alias("k"))
     state, path = scratch.table(degree.select("key", "k", F.col("key").alias("c")), "state")
-    total = state.agg(F.sum("k")).first()[0]
+    total = state.agg(F.sum("k")).first()[0] or 0
+    parts = _parts(spark, total)
     for r in range(rounds if total else 0):
         moves = F.col("key").bitwiseAND(F.lit(1 << r % BITS)) != 0
         sized = state.join(state.groupBy("c").agg(F.sum("k").alias("v")), "c")
         told = adj.join(sized.select(F.col("key").alias("dst"), "c", "v"), "dst").select(F.explode("srcs").alias("key"), "c", "v").filter(moves)
-        links = told.repartition("key").groupBy("key", "c", "v").agg(F.count("*").alias("w"))
+        links = told.repartition(parts, "key").groupBy("key", "c", "v").agg(F.count("*").alias("w"))
         share = F.lit(resolution) * F.col("k")
         stay = F.lit(0).cast("long") - share * (F.col("v") - F.col("k")) / total  # without a link into the own community
         own = sized.filter(moves).select("key", "k", F.col("c").alias("now"), stay.alias("stay"))
